@@ -1,0 +1,347 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on the awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from folioscope.llm import exact_dedup, language_id, lattice_lm, license_scan, media, near_dedup, packing, piece_bpe, queries, token_files, toxicity
+from folioscope.llm.components import components
+from folioscope.llm.piece_encoder import Encoder
+
+SF = "/root/testdata/sf0.001"
+BPE, WORDS, PIECES = (queries.tokenizer(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+SCHEMA = "doc_id long, text string, lang string, sig string, token string, row long, keep_id long, n_bytes long, bucket string"
+
+
+def near(words, rng, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def texts():
+    rng = random.Random(3)
+    base = [f"alpha{rng.randrange(500)}" for _ in range(150)]
+    out = [None, "", " ", "  a\tb\n", "a b ", "A B", "12 34 !!", "one two three", "One two THREE", "x" * 3000, "word " * 20_000]
+    out += [" ".join(base)] * 3 + [" ".join(base).upper()] + [near(base, rng, k) for k in (1, 1, 2, 3, 4, 6, 9) for _ in range(3)]
+    out += ["Licensed under the Apache License, Version 2.0.", "é à ñandú ½ x² 日本語 😀 n b\x1cc", "  lead trail  ", "▁ ▁x"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    t = texts()
+    return [(i * 7 % 101 if i else None, x) for i, x in enumerate(t)] + [(7, t[1]), (None, "one two three"), (14, t[2])]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", "t", 1, 2, 3, "b") for i, t in rows], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_media(docs, rows, empty):
+    got = sorted(((r.doc_id is None, r.doc_id, r.payload_sha256, r.n_bytes, r.tail_crc32, r.payload_bytes) for r in media.media_columns(docs).collect()), key=str)
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        p = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
+        want.append((i is None, i, hashlib.sha256(p).hexdigest(), len(raw), zlib.crc32(p[-16:]), len(p)))
+    assert got == sorted(want, key=str)
+    assert media.media_columns(empty).count() == 0
+
+
+def test_png_filters_and_checksums():
+    rng = np.random.RandomState(0)
+    img = rng.randint(0, 256, (10, 192)).astype(np.uint8)
+    rows = np.empty((10, 193), np.uint8)
+    for y in range(10):
+        kind, above = y % 5, img[y - 1] if y else np.zeros(192, np.uint8)
+        left = np.concatenate(([0], img[y, :-1]))
+        corner = np.concatenate(([0], above[:-1]))
+        guess = []
+        for a, b, c in zip(left.tolist(), above.tolist(), corner.tolist()):
+            p = a + b - c
+            near_ = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            guess.append([0, a, b, (a + b) // 2, near_][kind])
+        rows[y, 0], rows[y, 1:] = kind, (img[y].astype(int) - guess) % 256
+    assert (media.unfilter(rows) == img).all()
+    png = media.encode_png(img.tobytes())
+    assert (media.decode_png(png) == img).all()
+    for at in (3, 20, 60, len(png) - 2):
+        with pytest.raises(media.MediaError):
+            media.decode_png(png[:at] + bytes([png[at] ^ 1]) + png[at + 1 :])
+    with pytest.raises(media.MediaError):
+        media.decode_png(png[:-12])
+
+
+@pytest.mark.parametrize("bits", [256, 8])
+def test_exact_dedup(docs, rows, empty, bits):
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
+    ids = defaultdict(list)
+    for (i, _), n in zip(rows, norm):
+        ids[n].append(i)
+    keep = {n: min((i for i in v if i is not None), default=None) for n, v in ids.items()}
+    want = [(i, keep[n], len(ids[n]), i == keep[n], hashlib.sha256(n.encode()).hexdigest()) for (i, _), n in zip(rows, norm)]
+    got = [tuple(r) for r in exact_dedup.exact_groups(docs, digest_bits=bits).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert exact_dedup.exact_groups(empty).count() == 0
+
+
+def test_language_held_out(spark, docs, empty):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.language_of(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) > 150 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
+    awkward = {(r.doc_id, r.lang_pred) for r in language_id.language_of(docs).collect()}
+    assert (None, "und") in awkward and (6 * 7, "und") in awkward
+    assert language_id.language_of(empty).count() == 0
+
+
+def test_language_mixture():
+    rng = random.Random(1)
+    words = {k: ["".join(rng.choice(s) for _ in range(5)) for _ in range(200)] for k, s in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"))}
+    counts = Counter()
+    for lang, ws in words.items():
+        cells, n = language_id.trigrams(" ".join(ws))
+        counts.update({(lang, int(c)): int(k) for c, k in zip(cells, n)})
+    model = language_id.LanguageModel.from_counts([(*k, n) for k, n in counts.items()])
+    mix = model.shares(*language_id.trigrams(" ".join(words["aa"][:150] + words["bb"][:50])))
+    assert set(mix) == {"aa", "bb"} and abs(mix["aa"] - 0.75) < 0.1
+    long = " ".join(words["aa"] * 2000)
+    a, b = language_id.trigrams(long), language_id.trigrams(long[:0] + long)
+    assert len(long) > language_id.BLOCK and (a[1] == b[1]).all() and a[1].sum() == sum(map(len, long.split()))
+
+
+def marginal(word, model, logp):
+    """Brute force: every segmentation of a short word."""
+    text, at = "▁" + word, {p: i for i, p in enumerate(model.names)}
+
+    def total(s):
+        if not s:
+            return 1.0
+        out = 0.0
+        for n in range(1, len(s) + 1):
+            if s[:n] in at:
+                out += np.exp(logp[at[s[:n]]]) * total(s[n:])
+            elif n == 1:
+                out += np.exp(sum(logp[len(model.names) + b] for b in s[0].encode())) * total(s[1:])
+        return out
+
+    return np.log(total(text))
+
+
+def test_lattice(docs, rows, empty):
+    model = lattice_lm.Pieces(PIECES)
+    words = ["the", "a", "日x", "running", "\u0001", "ñandú"]
+    z, expected = model.marginals(words, np.log(model.prior), np.ones(len(words)))
+    assert np.allclose(z, [marginal(w, model, np.log(model.prior)) for w in words])
+    got = lattice_lm.lattice_scores(docs, PIECES).collect()
+    train = Counter()
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            train.update((t or "").encode().lower().split())
+            train["end"] += 1
+    n, v = sum(train.values()), len(train)
+    want = []
+    for i, t in rows:
+        toks = [*(t or "").encode().lower().split(), "end"]
+        want.append((i, len(toks), sum(train[x] > 0 for x in toks), n, round(float(sum(np.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks)), 4)))
+    assert sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got], key=str) == sorted(want, key=str)
+    assert all(r.score < 0 for r in got)
+    assert lattice_lm.lattice_scores(empty, PIECES).count() == 0
+
+
+def test_lattice_tail_equals_dictionary(real, monkeypatch):
+    whole = {r.doc_id: r for r in lattice_lm.lattice_scores(real, PIECES).collect()}
+    monkeypatch.setattr(lattice_lm, "HOT_TOKENS", 5)
+    for r in lattice_lm.lattice_scores(real, PIECES).collect():
+        w = whole[r.doc_id]
+        assert r.n_known == w.n_known and abs(r.score - w.score) < 1e-6 * abs(w.score) and abs(r.base_score - w.base_score) < 1e-6 * abs(w.base_score)
+
+
+@pytest.mark.parametrize("kind,path", [("byte", BPE), ("word", WORDS)])
+def test_encoder_is_the_librarys(kind, path, real):
+    enc = Encoder(path, kind, keep=300)
+    odd = ["a  b", "x\n\ny", " lead", "trail ", "it's I'LL don't", "tab\tx \ty", "ΑΣ Σ", "İstanbul", "<|endoftext|> hi", "foo\x1cbar", "ſt K", "12 345'6's", "_a_ b_c", "a­b", "n\n d", " x", "áb"]
+    for t in odd + [x or "" for x in texts()] + [r.text for r in real.limit(60).collect()]:
+        assert np.frombuffer(enc.encode(t), np.uint16).tolist() == enc.library.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+def test_token_files(docs, rows, empty):
+    enc = Encoder(BPE, "byte")
+    got = sorted(token_files.token_files(docs, BPE, 0).collect(), key=lambda r: r.start)
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*enc.library.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in got] == want
+    assert token_files.token_files(empty, BPE).count() == 0
+    uri = token_files.write_token_files(docs, BPE, parts=5)
+    assert sorted(map(tuple, token_files.read_token_files(docs.sparkSession, uri).collect()), key=lambda r: r[1]) == want
+
+
+def check_packing(pieces, ids):
+    """ids: list of (doc_id, id array), all doc_ids different."""
+    own, seqs = defaultdict(list), defaultdict(list)
+    for r in pieces:
+        own[r.doc_id].append(r)
+        seqs[r.sequence_id].append(r)
+    assert set(own) == {i for i, _ in ids}
+    for i, x in ids:
+        at = 0
+        for r in sorted(own[i], key=lambda r: r.start):
+            assert r.start == at and r.length > 0 and r.doc_tokens == x.size and r.ids_crc32 == zlib.crc32(x[at : at + r.length].astype("<u4"))
+            at += r.length
+        assert at == x.size
+    lengths = []
+    for rs in seqs.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= packing.WINDOW
+        lengths.append(at)
+    assert packing.padding(lengths) == 0
+
+
+def test_packing(spark, real, empty, docs, rows):
+    enc = Encoder(WORDS, "word")
+    unique = [(i, t) for i, t in enumerate(x for _, x in rows)]
+    for frame, own in ((spark.createDataFrame(unique, "doc_id long, text string"), unique), (real, [(r.doc_id, r.text) for r in real.collect()])):
+        check_packing(packing.pack_documents(frame, WORDS).collect(), [(i, np.append(np.frombuffer(enc.encode(t or ""), np.uint16), 1)) for i, t in own])
+    assert packing.pack_documents(empty, WORDS).count() == 0
+    assert sum(r.length for r in packing.pack_documents(docs, WORDS).collect()) == sum(len(enc.encode(t or "")) // 2 + 1 for _, t in rows)
+
+
+def test_packing_prefers_neighbours():
+    rng = np.random.RandomState(2)
+    topics = [rng.randint(100 * k, 100 * k + 60, (12, 200)) for k in range(1, 5)]
+    own = [np.append(t[j], 1).astype("<u2") for j in range(12) for t in topics]
+    n = len(own)
+    df = np.bincount(packing.postings(own)[0], minlength=packing.VOCABULARY)
+    order = list(packing.Shard(list(range(n)), own, np.log1p((n - df + 0.5) / (df + 0.5)), 201.0).order())
+    assert sorted(order) == list(range(n))
+    assert sum(a % 4 == b % 4 for a, b in zip(order, order[1:])) > 0.7 * n
+
+
+def brute_components(rows):
+    sets = [near_dedup.shingle_set(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, len(sets[k]), (least.get(find(k)) if sets[k] else i)) for k, (i, _) in enumerate(rows)]
+
+
+def test_near_dedup(spark, docs, rows, empty, real):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs).collect()]
+    assert sorted(got, key=str) == sorted(brute_components(rows), key=str)
+    own = [(r.doc_id, r.text) for r in real.collect()]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(real).collect()]
+    assert sorted(got) == sorted(brute_components(own))
+    assert near_dedup.near_groups(empty).count() == 0
+
+
+def test_near_dedup_large_bucket(spark):
+    """Hundreds of texts that share most words: some near, some just below the limit."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(220)]
+    own = [(k, near(base, rng, rng.choice((1, 2, 3, 5, 7, 9)))) for k in range(400)]
+    got = [(r.doc_id, r.component_id) for r in near_dedup.near_groups(spark.createDataFrame(own, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted((i, c) for i, _, c in brute_components(own))
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    links = [(a, a + 1) for a in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert all(got[k] == 0 for k in range(61)) and all(got[k] == 100 for k in range(101, 160))
+    assert all(got[a] == got[b] for a, b in links if a != b)
+
+
+def test_pruning_keeps_links():
+    rng = np.random.RandomState(6)
+    lost = 0
+    for _ in range(200):
+        common, own = rng.randint(0, 1 << 62, 170).astype(np.uint64), rng.randint(0, 1 << 62, 30).astype(np.uint64)
+        a, b = (np.frombuffer(near_dedup.signature(np.concatenate((common, x))), "<u4")[None] for x in (own[:15], own[15:]))
+        lost += near_dedup.survivors(a, b).size == 0
+    assert lost == 0
+
+
+def test_toxicity(spark, empty, docs):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    got = toxicity.toxicity(d, labels).where("held_out").join(labels, "doc_id").collect()
+    hit = [r for r in got if r.toxic]
+    assert len(hit) > 80 and sum(r.predicted for r in hit) / len(hit) > 0.93
+    assert sum(r.predicted for r in got if not r.toxic) / (len(got) - len(hit)) < 0.01
+    none = labels.limit(0)
+    assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
+    assert toxicity.toxicity(empty, none).count() == 0
+
+
+def test_toxic_folding_and_exceptions():
+    lex = toxicity.Lexicon({"idiot": 8.0, "clown": 6.0}, coef=(-3.0, 2.0, 0.5))
+    for t in ("you idiot", "you 1d10t!", "YOU ІDІОТ", "ｉｄｉｏｔ", "an ìdíöt.", "i​diot", "idiot!!"):
+        assert lex.score(t)[1] == 1, t
+    assert lex.score("a clown fish swims")[1] == 0 and lex.score("a clown swims")[1] == 1
+    assert lex.score("videotape")[1] == 0 and lex.score("")[1] == 0
+
+
+def test_piece_bpe(docs, rows, empty, real):
+    m = piece_bpe.PieceModel(PIECES, keep=500)
+    odd = ["▁", "a▁b", " ▁ x", "a" * 900, "    indent", "<s> </s>", "\u0000x", "<0x41>", " ", "", "x ", "日本語 😀"]
+    for t in odd + [t or "" for _, t in rows] + [r.text for r in real.limit(60).collect()]:
+        assert np.frombuffer(m.encode(t), np.uint16).tolist() == m.library.encode(t, add_bos=True, add_eos=True), t[:30]
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in piece_bpe.piece_round_trip(docs, PIECES).collect()), key=str)
+    want = []
+    for i, t in rows:
+        ids = m.library.encode(t or "", add_bos=True, add_eos=True)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(m.library.decode(ids).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert piece_bpe.piece_round_trip(empty, PIECES).count() == 0
+
+
+def test_licenses(spark, docs, empty):
+    s = license_scan.Scanner()
+    long = license_scan.TEMPLATES[1][1]
+    for k, (name, wording) in enumerate(license_scan.TEMPLATES):
+        got = s.scan(f"some text before it\nfoo bar. {wording} baz\nand more")
+        assert [(g[0], g[3]) for g in got] == [(name, 0)], (k, got)
+    worded = long.replace("You may obtain", "You can obtain").replace("distributed on an", "delivered on an")
+    assert [(g[0], g[3]) for g in s.scan(worded)] == [("Apache-2.0", 2)]
+    assert s.scan("we have permission to say that copyright is a word, and a license too") == []
+    twice = "Released under the MIT License.\n" + "x y z\n" * 300 + "Licensed under CC BY-NC 4.0."
+    assert [g[0] for g in s.scan(twice)] == ["MIT", "CC-BY-NC-4.0"]
+    assert [r.license for r in license_scan.scan_licenses(docs).collect()] == ["Apache-2.0"]
+    assert license_scan.scan_licenses(empty).count() == 0
+    lines = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(r"text rlike '(?i)licensed under|released under the'").select("doc_id")
+    found = license_scan.scan_licenses(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id").distinct()
+    assert lines.exceptAll(found).count() == 0 and found.exceptAll(lines).count() == 0
