@@ -51,6 +51,18 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], text_col: str = "text") -> DataFrame:
+    """Whole rows, all columns as they are, whose text ``make()`` (called once for each task) says to keep."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            yield b.filter(pa.array([f(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def spark_to_arrow(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

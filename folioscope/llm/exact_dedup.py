@@ -60,6 +60,18 @@ def may_hit(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int = FILTE
     return probed.join(F.broadcast(filter_rows), "_bucket").where(bit == 1).drop("_bucket", "_bit", "_bitmap")
 
 
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the ids of dropped (doc_id). Rows that the filter of dropped ids clears aren't shuffled; null ids stay."""
+    own = docs.columns
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
+    probed = docs.join(F.broadcast(bit_filter(dropped, "doc_id")), F.bitmap_bucket_number(at) == F.col("_bucket"), "left").withColumn("_bit", F.bitmap_bit_position(at))
+    probed = probed.withColumn("_hit", F.col("_bitmap").isNotNull() & (F.expr("shiftright(cast(conv(hex(substring(_bitmap, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1") == 1))
+    clear = probed.where(~F.col("_hit")).select(own)
+    ids = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
+    met = probed.where(F.col("_hit")).select(own)
+    return clear.union(met.join(ids, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti").select(own))
+
+
 def exact_groups(docs: DataFrame, digest_bits: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     runs = flush_runs(docs, digest_bits, id_col, text_col)

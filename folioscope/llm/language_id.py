@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, id_text
+from .common import arrow_map, fold, id_text, keep_rows
 
 SYMBOLS = 64
 CELLS = SYMBOLS**3
@@ -167,3 +167,14 @@ def language_of(docs: DataFrame) -> DataFrame:
     held = fold("doc_id", 4) == 2
     model = train_language_model(docs.where(~held))
     return identify(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score", "mixture")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Whole rows whose text has a language; those that are ``und`` go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        m = shared.value
+        return lambda t: m.predict(t or "")[0] != UNKNOWN
+
+    return keep_rows(docs, make)

@@ -1,9 +1,10 @@
 """Operator 8, toxicity: a weighted lexicon matched by Aho-Corasick after folding disguises.
 
 Folding lower-cases, maps homoglyphs, full-width forms, digits and signs to Latin letters, drops zero-width characters
-and turns everything else that isn't a letter into a space. The lexicon holds beginnings of words (4 to 8 letters)
-whose weight is the log odds of occurring in toxic against clean training rows; of nested beginnings the shortest that
-says as much stays. Exception phrases (an entry with its neighbouring word) cancel a match: a fixed list and those
+and turns everything else that isn't a letter into a space. The lexicon holds whole words and beginnings of words (4 to 8
+letters) whose weight is the log odds of occurring in toxic against clean training rows; a longer entry stays beside
+its beginning only if it says more, and at each word the longest entry counts. Accented letters are told apart, but
+strong plain entries also match words that only accents disguise. Exception phrases (an entry with its neighbouring word) cancel a match: a fixed list and those
 learned from clean training rows. The score is a logistic function of the weight found and of the weight for each
 hundred words, fitted on a bounded sample of labelled rows.
 
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, id_text, stored
+from .common import arrow_map, fold, id_text, keep_rows, stored
 from .exact_dedup import bit_filter, may_hit
 
 #: Look-alike letters of other scripts, and digits and signs that stand for letters.
@@ -38,8 +39,10 @@ EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "trash bag",
 
 STEMS = range(4, 9)
 LEXICON_SIZE = 4096
-#: Beginnings must occur in so many toxic training rows, and be so much likelier there.
-LEAST_ROWS, LEAST_WEIGHT = 4, 3.0
+#: What an entry must show: toxic training rows, weight, and log-likelihood gained over chance (many are tried).
+LEAST_ROWS, LEAST_WEIGHT, LEAST_GAIN = 4, 1.2, 14.0
+#: A longer entry stays beside its beginning if its weight is so much more; entries of this weight see through accents.
+MORE, STRONG = 0.7, 5.0
 #: The logistic function is fitted on at most so many labelled rows.
 FIT_ROWS = 20_000
 
@@ -55,13 +58,23 @@ class Fold(dict):
         if c in ZERO_WIDTH:
             low = ""
         elif not low.isascii():
-            low = "".join(HOMOGLYPHS.get(x, DIGITS.get(x, x)) for x in unicodedata.normalize("NFKD", low).lower() if not unicodedata.combining(x))
+            low = unicodedata.normalize("NFKC", low).lower()
+            low = "".join(HOMOGLYPHS.get(x, DIGITS.get(x, x)) for x in low)
         out = "".join(x if x.isalpha() else " " for x in low) if low else ("" if c in ZERO_WIDTH or unicodedata.combining(c) else " ")
         self[cp] = out
         return out
 
 
-FOLD = Fold()
+class Strip(dict):
+    """Code point to its letter without accents, one for one."""
+
+    def __missing__(self, cp: int) -> str:
+        base = unicodedata.normalize("NFKD", chr(cp))[0]
+        self[cp] = base
+        return base
+
+
+FOLD, STRIP = Fold(), Strip()
 
 
 def folded(text: str) -> str:
@@ -69,8 +82,9 @@ def folded(text: str) -> str:
     return " " + " ".join(w for t in text.split() if (w := t.strip("!|.,;:?\"'()[]{}").translate(FOLD))) + " "
 
 
-def stems(text: str, wanted: frozenset[str] | None = None) -> set[str]:
-    got = {w[:k] for w in set(folded(text).split()) for k in STEMS if len(w) >= k}
+def entries(text: str, wanted: frozenset[str] | None = None) -> set[str]:
+    words = set(folded(text).split())
+    got = {w[:k] for w in words for k in STEMS if len(w) >= k} | {w + " " for w in words if len(w) >= STEMS[0]}
     return got if wanted is None else got & wanted
 
 
@@ -95,6 +109,11 @@ class Lexicon:
             at = end - len(w) + 1
             if at not in best or len(w) > len(best[at][0]):
                 best[at] = w, v
+        if not s.isascii():
+            for end, (w, v) in self.auto.iter(s.translate(STRIP)):
+                at = end - len(w) + 1
+                if at not in best and v >= STRONG and w.isascii():
+                    best[at] = w, v
         return [(at, w, v) for at, (w, v) in best.items() if not any(p in self.exceptions for p in phrases(s, at))], s
 
     def features(self, text: str) -> tuple[float, float, int]:
@@ -138,7 +157,7 @@ def tally(rows: DataFrame, keys) -> DataFrame:
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> tuple[float, float, float]:
     """Newton's method with a ridge on all but the constant; slopes below zero are set to zero."""
     design = np.column_stack((np.ones(len(x)), x))
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
+    weight = np.ones(len(y))
     beta = np.zeros(design.shape[1])
     keep = np.ones(design.shape[1], bool)
     for _ in range(2):
@@ -166,14 +185,16 @@ def train_lexicon(labelled: DataFrame, size: int = LEXICON_SIZE, fit_rows: int =
     if not n_toxic:
         return Lexicon({})
     spark = labelled.sparkSession
-    often = [(r.key, r.n) for r in tally(toxic, stems).where(F.col("n") >= min(LEAST_ROWS, max(2, n_toxic // 50))).orderBy(F.desc("n"), "key").limit(64 * size).collect()]
+    often = [(r.key, r.n) for r in tally(toxic, entries).where(F.col("n") >= min(LEAST_ROWS, max(2, n_toxic // 50))).orderBy(F.desc("n"), "key").limit(64 * size).collect()]
     wanted = spark.sparkContext.broadcast(frozenset(k for k, _ in often))
-    in_clean = {r.key: r.n for r in tally(clean, lambda t: stems(t, wanted.value)).collect()}
+    in_clean = {r.key: r.n for r in tally(clean, lambda t: entries(t, wanted.value)).collect()}
     weight = {k: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean.get(k, 0) + 0.5) / (n_clean + 1)) for k, n in often}
-    rows = dict(often)
+    chance = {k: n_toxic * (in_clean.get(k, 0) + 0.5) / (n_clean + 1) for k in weight}
+    gain = {k: n * math.log(n / chance[k]) - n + chance[k] for k, n in often}
     good: dict[str, float] = {}
-    for k in sorted((k for k in weight if weight[k] >= LEAST_WEIGHT and in_clean.get(k, 0) <= 0.02 * rows[k] * max(1.0, n_clean / n_toxic)), key=lambda k: (len(k), k)):
-        if not any(k[:j] in good and good[k[:j]] >= 0.8 * weight[k] for j in STEMS if j < len(k)):
+    for k in sorted((k for k in weight if weight[k] >= LEAST_WEIGHT and gain[k] >= LEAST_GAIN), key=lambda k: (len(k), k)):
+        inner = max((good[k[:j]] for j in STEMS if j < len(k) and k[:j] in good), default=0.0)
+        if weight[k] >= inner + MORE:
             good[k] = weight[k]
     top = dict(sorted(good.items(), key=lambda x: (-x[1], x[0]))[:size])
     lexicon = Lexicon(top, set(EXCEPTIONS))
@@ -221,6 +242,17 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id
     return arrow_map(id_text(docs, id_col, text_col), make, "doc_id long, score double, predicted int, n_matches int")
 
 
+def keep_civil(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
+    """Whole rows that score under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.coef))
+
+    def make():
+        lex = Lexicon(*shared.value)
+        return lambda t: lex.score(t or "")[0] < threshold
+
+    return keep_rows(docs, make)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the labelled rows whose crc32(doc_id) mod 3 is not 1. Only the narrow label rows are shuffled whole."""
     own = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
