@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, stored
-from .piece_encoder import Encoder
+from .piece_encoder import shared_encoder
 
 WINDOW = 2048
 VOCABULARY = 1 << 16
@@ -39,7 +39,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id
     """(doc_id, ids): little-endian unsigned 16-bit ids with the end id, stored."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = Encoder(tokenizer, kind), int(end_id).to_bytes(2, "little")
+        enc, tail = shared_encoder(tokenizer, kind), int(end_id).to_bytes(2, "little")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.encode(t.as_py()) + tail for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
 

@@ -31,7 +31,7 @@ RUNS = re.compile(" +[^ ]*")
 
 
 class PieceModel:
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 700_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -120,11 +120,21 @@ class PieceModel:
         return array("H", [self.bos]).tobytes() + b"".join(ids) + array("H", [self.eos]).tobytes()
 
 
+_models: dict[str, PieceModel] = {}
+
+
+def shared_model(path: str) -> PieceModel:
+    """The worker process's model: what one task has kept serves the next, and is held once."""
+    if path not in _models:
+        _models[path] = PieceModel(path)
+    return _models[path]
+
+
 def piece_round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def make():
-        m = PieceModel(model)
+        m = shared_model(model)
 
         def f(x):
             out = {"doc_id": x["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}

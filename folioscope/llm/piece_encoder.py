@@ -49,7 +49,7 @@ class Kept:
 class Encoder:
     """path: a tokenizers file; kind: "byte" (byte-level pieces with their leading space) or "word" (white space dropped)."""
 
-    def __init__(self, path: str, kind: str, keep: int = 1_500_000):
+    def __init__(self, path: str, kind: str, keep: int = 700_000):
         from tokenizers import Tokenizer
 
         self.kind = kind
@@ -96,3 +96,13 @@ class Encoder:
                 if x is None:
                     ids[i] = self.cuts.get(cuts[i], self.cut)
         return first + b"".join(ids)
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def shared_encoder(path: str, kind: str) -> Encoder:
+    """The worker process's encoder: what one task has kept serves the next, and is held once."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = Encoder(path, kind)
+    return _encoders[path, kind]

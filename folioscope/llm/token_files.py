@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, scratch
-from .piece_encoder import Encoder
+from .piece_encoder import shared_encoder
 
 NULL_ID = -(1 << 63)
 #: Text bytes that a part should hold at most, on average.
@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_i
     wide = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer, kind)
+        enc = shared_encoder(tokenizer, kind)
         tail = np.array([end_id], wide).tobytes()
         sizes, ids = array("Q", [0]), array("q")
         part = f"{TaskContext.get().partitionId():06d}"
