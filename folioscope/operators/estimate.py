@@ -35,10 +35,11 @@ def scale(dpi: Column, target: Column) -> Column:
 
 
 def projected(target: Column, quality: Column) -> Column:
-    """image and mask truncated apart, and no more than what is there. Columns of ``described`` usages."""
+    """image and mask (on the image's grid at most) truncated apart, and no more than what is there. Columns of ``described`` usages."""
     s = scale(F.col("dpi"), target)
-    image = truncated(F.col("pixel_w") * s * F.col("pixel_h") * s * bits_per_pixel(quality) / 8)
-    mask = F.coalesce(truncated(F.col("mask_w") * s * F.col("mask_h") * s * MASK_BITS / 8), F.lit(0))
+    pixels = F.col("pixel_w") * F.col("pixel_h") * s * s
+    image = truncated(pixels * bits_per_pixel(quality) / 8)
+    mask = F.coalesce(truncated(F.least(pixels, F.col("mask_w") * F.col("mask_h") * s * s) * MASK_BITS / 8), F.lit(0))
     return F.when(F.col("reason").isNotNull(), F.col("total_len")).otherwise(F.least(F.col("total_len"), image + mask))
 
 
@@ -83,45 +84,59 @@ def curve(bytes_top: Column, bytes_floor: Column, a: Column) -> Column:
     return truncated(bytes_top * F.pow(bytes_floor / bytes_top, a))
 
 
-def next_aggression(a1: Column, b1: Column, a2: Column, b2: Column, n: Column, target: Column, too_big: Column, fits: Column) -> Column:
-    """a secant on the logarithm of bytes aimed below the target from two points, a damped step from one, kept in the bracket."""
+def next_aggression(a1: Column, b1: Column, a2: Column, b2: Column, n: Column, target: Column, too_big: Column, fits: Column, current: Column) -> Column:
+    """the next setting from the last two measured points (a1, b1), (a2, b2), of which n are there.
+
+    Two points give a secant on the logarithm of bytes, aimed under the target; one gives a damped step; none a fixed one.
+    The proposal stays inside the bracket and never stands still.
+    """
     aim = F.ln(target * AIM)
-    slope = F.when(n >= 2, (F.ln(b2) - F.ln(b1)) / F.when(F.abs(a2 - a1) < 1e-9, 1.0).otherwise(a2 - a1))
-    two = F.when(F.abs(slope) > 1e-9, a2 + (aim - F.ln(b2)) / slope).otherwise(a2 + LEAST_STEP)
-    one = a2 + F.least(F.lit(DAMPED_CAP), F.greatest(F.lit(-DAMPED_CAP), DAMPED * (F.ln(b2) - aim)))
-    raw = F.when(n >= 2, two).otherwise(one)
-    raw = F.when(F.abs(raw - a2) < LEAST_STEP, a2 + F.when(b2 > target, LEAST_STEP).otherwise(-LEAST_STEP)).otherwise(raw)
-    low, high = F.least(F.lit(1.0), too_big + NUDGE), F.greatest(F.lit(0.0), fits - NUDGE)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least(F.greatest(raw, low), F.greatest(low, high))))
+    rise, run = F.ln(b2) - F.ln(b1), a2 - a1
+    usable = (F.abs(run) > 0.001) & (F.abs(rise) > 0.001)
+    secant = F.when(usable, a2 + (aim - F.ln(b2)) * run / F.when(usable, rise).otherwise(1.0)).otherwise(a2 + F.when(b2 > target, LEAST_STEP).otherwise(-LEAST_STEP))
+    damped = a2 + F.greatest(F.lit(-DAMPED_CAP), F.least(F.lit(DAMPED_CAP), (F.ln(b2) - aim) * DAMPED))
+    raw = F.when(n >= 2, secant).when(n == 1, damped).otherwise(current + LEAST_STEP)
+    open_ = too_big < fits
+    raw = F.when(open_, F.least(F.greatest(raw, too_big + NUDGE), fits - NUDGE)).otherwise(raw)
+    raw = F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
+    step = current + F.when(raw >= current, LEAST_STEP).otherwise(-LEAST_STEP)
+    moved = F.when(open_, F.least(F.greatest(step, too_big), fits)).otherwise(step)
+    return F.least(F.greatest(F.when(F.abs(raw - current) < LEAST_STEP, moved).otherwise(raw), F.lit(0.0)), F.lit(1.0))
 
 
 def search(candidates: DataFrame) -> DataFrame:
-    """At most four passes for (doc_id, target, start, top, floor, non_image); plain columns, no driver loop over documents.
+    """At most four passes for (doc_id, target, start, top, floor, lossless, non_image), as columns.
 
-    Each pass moves the bracket (largest setting still too big, smallest that fits); a document that has landed, or whose
-    target lies under its other bytes, keeps its state. The best result is the largest that fits, else the smallest.
+    lossless is the size after deduplication alone, null where nothing is stored twice; where it is there it is the first
+    pass. A document that has landed keeps its state. The result is the largest that fits, else the smallest.
     """
     c = F.col
-    d = candidates.withColumns({"a": c("start"), "a1": c("start"), "b1": F.lit(None).cast("long"), "a2": c("start"), "b2": F.lit(None).cast("long"), "n": F.lit(0), "too_big": F.lit(0.0), "fits": F.lit(1.0), "best": F.lit(None).cast("long"), "least": F.lit(None).cast("long"), "done": c("non_image") >= c("target")})
+    d = candidates.withColumns({
+        "a": c("start"), "recode": c("lossless").isNull(), "n": F.lit(0), "passes": F.lit(0), "too_big": F.lit(0.0), "fits": F.lit(1.0), "done": F.lit(False),
+        **{k: F.lit(None).cast("double") for k in ("a1", "b1", "a2", "b2")}, **{k: F.lit(None).cast("long") for k in ("best", "least")},
+    })
     for k in range(1, PASSES + 1):
-        go = ~c("done")
-        got = curve(c("top"), c("floor"), c("a"))
-        ok = got <= c("target")
-        d = d.withColumns({"got": F.when(go, got), "ok": ok & go})
+        go, target = ~c("done"), c("target")
+        d = d.withColumn("got", F.when(c("recode"), curve(c("top"), c("floor"), c("a"))).otherwise(c("lossless"))).withColumn("ok", c("got") <= target)
         d = d.withColumns({
-            "a1": F.when(go, c("a2")).otherwise(c("a1")), "b1": F.when(go, c("b2")).otherwise(c("b1")),
-            "a2": F.when(go, c("a")).otherwise(c("a2")), "b2": F.when(go, c("got")).otherwise(c("b2")),
-            "n": F.when(go, c("n") + 1).otherwise(c("n")),
-            "too_big": F.when(go & ~c("ok"), F.greatest(c("too_big"), c("a"))).otherwise(c("too_big")),
-            "fits": F.when(go & c("ok"), F.least(c("fits"), c("a"))).otherwise(c("fits")),
+            "passes": F.when(go, k).otherwise(c("passes")),
             "best": F.when(go & c("ok"), F.greatest(F.coalesce("best", "got"), c("got"))).otherwise(c("best")),
             "least": F.when(go, F.least(F.coalesce("least", "got"), c("got"))).otherwise(c("least")),
+            "done": c("done") | (c("ok") & ~c("recode")) | (c("ok") & (c("got") >= GOOD * target)) | (c("non_image") >= target),
         })
-        landed = (c("ok") & (c("got") >= GOOD * c("target"))) | (~c("ok") & (c("a") >= 1.0))
-        d = d.withColumn("done", c("done") | F.coalesce(landed, F.lit(False)))
-        follow = next_aggression(c("a1"), c("b1").cast("double"), c("a2"), c("b2").cast("double"), c("n"), c("target").cast("double"), c("too_big"), c("fits"))
+        if k == PASSES:
+            break
+        point = ~c("done") & c("recode")
+        d = d.withColumns({
+            "a1": F.when(point, c("a2")).otherwise(c("a1")), "b1": F.when(point, c("b2")).otherwise(c("b1")),
+            "a2": F.when(point, c("a")).otherwise(c("a2")), "b2": F.when(point, c("got").cast("double")).otherwise(c("b2")),
+            "n": F.when(point, c("n") + 1).otherwise(c("n")),
+            "too_big": F.when(point & ~c("ok"), F.greatest(c("too_big"), c("a"))).otherwise(c("too_big")),
+            "fits": F.when(point & c("ok"), F.least(c("fits"), c("a"))).otherwise(c("fits")),
+        }).withColumn("done", c("done") | (c("recode") & (c("a") >= 0.999) & ~c("ok")))
+        follow = next_aggression(c("a1"), c("b1"), c("a2"), c("b2"), c("n"), target.cast("double"), c("too_big"), c("fits"), c("a"))
         if k == PASSES - 1:
             follow = F.when(c("best").isNull(), 1.0).otherwise(follow)
-        d = d.withColumn("a", F.when(c("done"), c("a")).otherwise(follow))
-    kind = F.when(c("non_image") >= c("target"), "unreachable").when(c("best").isNotNull(), "met").otherwise("bestEffort")
-    return d.select("doc_id", "target", c("n").cast("int").alias("passes"), F.coalesce("best", "least").alias("bytes"), kind.alias("outcome"))
+        d = d.withColumns({"a": F.when(c("done"), c("a")).otherwise(follow), "recode": F.lit(True)})
+        d = d.drop("got", "ok")
+    return d.select("doc_id", "target", "passes", F.coalesce("best", "least").alias("bytes"), F.when(c("best").isNotNull(), "met").otherwise("bestEffort").alias("outcome"))

@@ -20,12 +20,12 @@ def decline_reason() -> Column:
     c = F.col
     return (
         F.when((c("bpc") == 1) | c("is_stencil"), "bilevel")
-        .when(c("flt").isin(*UNDECODABLE), "unsupportedFilter")
-        .when(c("components") < 1, "unsupportedColorSpace")
+        .when(c("flt").isin(*UNDECODABLE), "undecodableFilter")
+        .when(c("components") < 1, "unresolvableColorSpace")
         .when(c("has_decode"), "decodeArray")
         .when(c("has_colour_key"), "colourKeyMask")
-        .when(c("mask_w").isNotNull() & c("mask_matte"), "maskMatte")
-        .when(c("mask_w").isNotNull() & c("mask_decode"), "maskDecodeArray")
+        .when(c("mask_w").isNotNull() & c("mask_matte"), "matte")
+        .when(c("mask_w").isNotNull() & c("mask_decode"), "maskUndecodable")
     )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import queries as _queries
+from . import scalars as _scalars
+
 
 def queries():
-    return {}
+    return _queries.QUERIES | _scalars.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return _queries.SQL | _scalars.SQL

@@ -7,6 +7,8 @@ content ids repeat so that objects share content and cheap keys. Low content ids
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: One row for each draw of an image on a page. scan_order is the order in which a document's draws are met.
@@ -16,7 +18,7 @@ SELECT doc_id, page_index, scan_order, object_id, content_id, pixel_w, pixel_h,
        CAST(612 AS DOUBLE) AS page_w, CAST(792 AS DOUBLE) AS page_h
 FROM (
   SELECT l_suppkey AS doc_id, l_orderkey % 40 AS page_index,
-         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) AS scan_order,
+         CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS scan_order,
          l_partkey AS object_id, l_partkey % 97 AS content_id,
          200 + 40 * ((CASE WHEN l_partkey % 97 < 60 THEN l_partkey % 97 % 24 ELSE l_partkey % 97 END) % 50) AS pixel_w,
          150 + 30 * ((CASE WHEN l_partkey % 97 < 60 THEN l_partkey % 97 % 24 ELSE l_partkey % 97 END) % 40) AS pixel_h,
@@ -52,13 +54,13 @@ GROUP BY doc_id
 
 #: The four measured profiles (fixed values).
 PROFILE = """
-SELECT * FROM (VALUES ('lossless', 300.0, 0.85, false, false), ('sendIt', 150.0, 0.65, false, true),
+SELECT profile_id, CAST(target_dpi AS DOUBLE) AS target_dpi, CAST(jpeg_quality AS DOUBLE) AS jpeg_quality, gray_scans, recodes FROM (VALUES ('lossless', 300.0, 0.85, false, false), ('sendIt', 150.0, 0.65, false, true),
   ('small', 110.0, 0.50, false, true), ('tiny', 72.0, 0.35, true, true)) AS t(profile_id, target_dpi, jpeg_quality, gray_scans, recodes)
 """
 
 #: Runs of a file: a user's events in order, the value as bytes.
 RUN = """
-SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pass,
+SELECT user_id AS file_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pass,
        CAST(floor(value * 10000) AS BIGINT) AS bytes, CAST(event_id % 101 AS DOUBLE) / 100 AS fraction, event_type
 FROM events
 """
@@ -71,8 +73,6 @@ def with_views(body: str, *more: tuple[str, str]) -> str:
     """A statement that defines, in front of body, the views it names (and those that these name), then more."""
     used, text = [], body + " ".join(s for _, s in more)
     for name in reversed(VIEWS):
-        import re
-
         if re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
             used.append(name)
             text += VIEWS[name]
