@@ -81,9 +81,12 @@ def with_views(body: str, *more: tuple[str, str]) -> str:
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of the tables of a folder (only the scans that a query needs are planned)."""
+    """Temporary views of the tables of a folder, made once in a session while it is about the same folder."""
+    if spark.conf.get("folioscope.tables", None) == sf_dir:
+        return
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    spark.conf.set("folioscope.tables", sf_dir)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
