@@ -105,7 +105,8 @@ class Scanner:
             taken = np.zeros(len(spans), bool)
             order = self.ranked(text[s:e])
             # longer wordings first among the best, so that a notice inside a longer one doesn't hide it
-            tried = sorted(order[:TRIED], key=lambda x: -len(self.words[x[1]])) + order[TRIED:]
+            have = {x[2] for x in spans}
+            tried = sorted(order[:TRIED], key=lambda x: (-len(self.words[x[1]]), sum(w not in have for w in self.words[x[1]]))) + order[TRIED:]
             for saved, k in tried:
                 ids = {w: i for i, w in enumerate(dict.fromkeys(self.words[k]))}
                 wanted = np.array([ids[w] for w in self.words[k]])
