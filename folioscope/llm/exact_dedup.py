@@ -80,7 +80,9 @@ def exact_groups(docs: DataFrame, digest_bits: int = 256, id_col: str = "doc_id"
     texts = id_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
     texts = texts.withColumn("digest", digest(F.col("norm"), digest_bits))
     hits = stored(may_hit(texts, "digest", bit_filter(contested, "digest")), "hits")
-    stays = hits.join(contested.select("digest", "keep_id"), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # joined by digest and id: the copies of one text spread over the tasks, and only the rows that stay meet by digest
+    named = contested.select(F.col("digest").alias("_digest"), "keep_id")
+    stays = hits.join(named, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
     stays = stays.groupBy("digest").agg(F.min("norm").alias("keep_norm"))
     differ = stored(hits.join(stays, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest"), "differ").distinct()
     found = runs.join(level, "digest")
