@@ -83,7 +83,8 @@ def exact_groups(docs: DataFrame, digest_bits: int = 256, id_col: str = "doc_id"
     # joined by digest and id: the copies of one text spread over the tasks, and only the rows that stay meet by digest
     named = contested.select(F.col("digest").alias("_digest"), "keep_id")
     stays = hits.join(named, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    stays = stays.groupBy("digest").agg(F.min("norm").alias("keep_norm"))
+    # written, so that the next join reads two plain shuffles, of which adaptive execution splits a hot digest's partition
+    stays = stored(stays.groupBy("digest").agg(F.min("norm").alias("keep_norm")), "stays")
     differ = stored(hits.join(stays, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest"), "differ").distinct()
     found = runs.join(level, "digest")
     if not differ.isEmpty():
