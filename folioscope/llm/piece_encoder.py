@@ -28,6 +28,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Longer strings aren't kept, so the size of what is kept is bounded like its number.
+LONGEST_KEPT = 64
+
+
 class Kept:
     """A bounded cache in two generations: when the young one is full it becomes the old one."""
 
@@ -35,6 +39,8 @@ class Kept:
         self.keep, self.young, self.old = keep // 2, {}, {}
 
     def get(self, key, make):
+        if len(key) > LONGEST_KEPT:
+            return make(key)
         got = self.young.get(key)
         if got is None:
             got = self.old.get(key)
