@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from . import queries as _queries
 from . import scalars as _scalars
+from . import streams as _streams
 
 
 def queries():
-    return _queries.QUERIES | _scalars.QUERIES
+    return _queries.QUERIES | _scalars.QUERIES | _streams.QUERIES
 
 
 def oracle_sql():
-    return _queries.SQL | _scalars.SQL
+    return _queries.SQL | _scalars.SQL | _streams.SQL

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +31,12 @@ def build_session(master: str | None = None, app: str = "folioscope", **conf: st
         settings["spark.driver.memory"] = os.environ.get("FOLIOSCOPE_DRIVER_MEMORY", "8g")
     settings |= {k.replace("_", "."): v for k, v in conf.items()}
     return b.config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the cluster's spark.checkpoint.dir (a temp folder of its own where that is unset, as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="folioscope-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/folioscope/{name}-{uuid.uuid4().hex}"
