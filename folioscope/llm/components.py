@@ -22,14 +22,15 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
+def contracted(edges: DataFrame) -> bool:
+    """Whether edges (a, b) are stars: every node has one edge down at most, and none that has one is pointed at."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link; links are rows (a, b), component is the smallest node reachable."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
+    while not contracted(edges):
         edges = stored(star(star(edges, True), False), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b")).distinct()
