@@ -270,8 +270,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = known.where("comp != pivot_comp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         else:
             pairs = block_pairs(known.select("bucket", "node", "comp"), wanted)
-        links = links.union(verify(pairs, wanted, texts))
-        comps = stored(components(links), "components")
+        stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))  # what is known, already contracted
+        comps = stored(components(stars.union(verify(pairs, wanted, texts))), "components")
         open_ = known.select("bucket", "node")
 
     least = nodes.select("node", "min_doc").join(comps, "node").groupBy("component").agg(F.min("min_doc").alias("least"))
