@@ -1,13 +1,12 @@
 """Operator 10, licence scan by conditional compression.
 
-Candidate blocks are lines with a licence cue, joined where they are near each other. Each block is compressed by
+Candidate blocks surround licence cues over line ends, joined where they overlap. Each block is compressed by
 zstandard alone and with each template as raw-content dictionary; templates are ranked by how much smaller the block
 gets. The best ones are then confirmed by exact wording: the least number of word insertions, deletions and
 replacements that turn some span of the block into the template, at most a fifth of its words. Spans don't overlap.
 
 Defined cases: null and empty texts and texts without a cue have no row; equal reductions go to the template listed
-first; a licence that occurs twice gives two rows; rows that repeat give repeated results; a very long line is cut
-into overlapping windows around its cues; an empty table gives an empty one; other columns are not read.
+first; a licence that occurs twice gives two rows; rows that repeat give repeated results; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,29 +40,33 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 license."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-CUE = re.compile(r"licen[sc]e|permission|redistribut|copyright|public\s+domain|creative\s+commons", re.I)
-WORD = re.compile(r"[^\W_]+(?:[.\-'/][^\W_]+)*")
-#: Cues this near share a block, which reaches as far on either side; templates are shorter than that.
-REACH = 800
+CUE = re.compile(r"licen[sc]e|permission|redistribut|copyright|public[\W_]+domain|creative[\W_]+commons", re.I)
+#: A hyphen at a line's end joins the word to the next line's, whatever comment leader that has.
+WORD = re.compile(r"[^\W_]+(?:(?:[.'/]|-(?:[ \t\r]*\n[^\w\n]*)?)[^\W_]+)*")
+BREAK = re.compile(r"\s*\n[^\w\n]*")
+#: A block reaches so many characters to either side of a cue, over line ends; templates are shorter, wrapped ones too.
+REACH = 1200
 TOLERANCE = 0.2
 TRIED = 4
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans around cues: whole lines where they are short, at most REACH on either side of a cue."""
+    """Spans of REACH on either side of a cue; those that overlap are one."""
     out: list[list[int]] = []
     for m in CUE.finditer(text):
-        s = text.rfind("\n", 0, m.start()) + 1
-        e = text.find("\n", m.end())
-        e = len(text) if e < 0 else e
-        s, e = max(s, m.start() - REACH), min(e, m.end() + REACH)
-        if out and s - out[-1][1] < 80:
+        s, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if out and s <= out[-1][1]:
             out[-1][1] = max(e, out[-1][1])
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]
 
 
+def normal(word: str) -> str:
+    """A word as it is compared: in lower case, without a line break inside."""
+    return BREAK.sub("", word.lower())
+
+
 def best_span(words: np.ndarray, wanted: np.ndarray) -> tuple[int, int, int]:
     """(differences, first, last + 1) of the span of words that is nearest to wanted; the leftmost shortest of equals."""
     n = words.size
@@ -86,7 +89,7 @@ def best_span(words: np.ndarray, wanted: np.ndarray) -> tuple[int, int, int]:
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
-        self.words = [[w.lower() for w in WORD.findall(t)] for _, t in templates]
+        self.words = [[normal(w) for w in WORD.findall(t)] for _, t in templates]
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
 
@@ -101,7 +104,7 @@ class Scanner:
         """(licence, start, length, differences, template words, saved)."""
         found = []
         for s, e in blocks(text):
-            spans = [(m.start() + s, m.end() + s, m.group().lower()) for m in WORD.finditer(text[s:e])]
+            spans = [(m.start() + s, m.end() + s, normal(m.group())) for m in WORD.finditer(text[s:e])]
             taken = np.zeros(len(spans), bool)
             order = self.ranked(text[s:e])
             # longer wordings first among the best, so that a notice inside a longer one doesn't hide it

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -345,3 +346,14 @@ def test_licenses(spark, docs, empty):
     lines = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(r"text rlike '(?i)licensed under|released under the'").select("doc_id")
     found = license_scan.scan_licenses(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id").distinct()
     assert lines.exceptAll(found).count() == 0 and found.exceptAll(lines).count() == 0
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", "        ;; "])
+def test_licenses_wrapped(leader):
+    """Every template as files have it: hard-wrapped, in a comment, among other lines."""
+    s = license_scan.Scanner()
+    for width in range(60, 81, 2):
+        for name, wording in license_scan.TEMPLATES:
+            lines = textwrap.wrap(wording, width, initial_indent=leader, subsequent_indent=leader)
+            got = s.scan("\n".join(["int main() {", *lines, leader.rstrip(), "more code here"]))
+            assert [(g[0], g[3]) for g in got] == [(name, 0)], (width, lines, got)
