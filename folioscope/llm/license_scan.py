@@ -1,17 +1,20 @@
 """Operator 10, licence scan by conditional compression.
 
-Candidate blocks surround licence cues over line ends, joined where they overlap. Each block is compressed by
-zstandard alone and with each template as raw-content dictionary; templates are ranked by how much smaller the block
-gets. The best ones are then confirmed by exact wording: the least number of word insertions, deletions and
-replacements that turn some span of the block into the template, at most a fifth of its words. Spans don't overlap.
-
-Defined cases: null and empty texts and texts without a cue have no row; equal reductions go to the template listed
-first; a licence that occurs twice gives two rows; rows that repeat give repeated results; an empty table gives an empty one; other columns are not read.
+Overlapping windows of bounded size surround the licence cues, over line ends; a notice with a cue lies whole in the
+window that has the cue. Templates of which too many words are missing from a window can't be in it; all others are
+confirmed by exact wording: the least number of word insertions, deletions and replacements that turn some span of the
+window into the template, at most a fifth of its words. The window is compressed by zstandard alone and with each of
+these templates as raw-content dictionary; the share saved is given and orders equals, but drops none. Spans don't
+overlap; those with more words of their template come first.
+
+Defined cases: null and empty texts and texts without a cue have no row; equal spans with equal reductions go to the template
+listed first; a licence that occurs twice gives two rows; rows that repeat give repeated results; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
@@ -44,22 +47,9 @@ CUE = re.compile(r"licen[sc]e|permission|redistribut|copyright|public[\W_]+domai
 #: A hyphen at a line's end joins the word to the next line's, whatever comment leader that has.
 WORD = re.compile(r"[^\W_]+(?:(?:[.'/]|-(?:[ \t\r]*\n[^\w\n]*)?)[^\W_]+)*")
 BREAK = re.compile(r"\s*\n[^\w\n]*")
-#: A block reaches so many characters to either side of a cue, over line ends; templates are shorter, wrapped ones too.
-REACH = 1200
 TOLERANCE = 0.2
-TRIED = 4
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of REACH on either side of a cue; those that overlap are one."""
-    out: list[list[int]] = []
-    for m in CUE.finditer(text):
-        s, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(e, out[-1][1])
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+#: More than any number of differences: the price of what a span must not have.
+NEVER = 1 << 30
 
 
 def normal(word: str) -> str:
@@ -67,21 +57,61 @@ def normal(word: str) -> str:
     return BREAK.sub("", word.lower())
 
 
+def windows(text: str, reach: int) -> Iterator[tuple[int, list[tuple[int, int, str, bool]], int]]:
+    """(first, words, last) of overlapping windows, words being (start, end, word, whether it has a cue).
+
+    first is the number of the first word, last that of the window's last own cue. Own cues are at most ``reach`` words
+    apart, and a window has ``reach`` more words to
+    either side: 3 * reach + 1 at most, however dense the cues are.
+    """
+    cues = CUE.finditer(text)
+    cue, base, held, open_ = next(cues, None), 0, [], []
+
+    def cut() -> tuple[int, list, int]:
+        last = max(c for c in open_ if c <= open_[0] + reach)
+        at = max(base, open_[0] - reach)
+        del open_[: sum(c <= last for c in open_)]
+        return at, held[at - base : last + reach + 1 - base], last
+
+    if cue is None:
+        return
+    for i, m in enumerate(WORD.finditer(text)):
+        has = False
+        while cue is not None and cue.start() < m.end():
+            has, cue = True, next(cues, None)
+        held.append((m.start(), m.end(), normal(m.group()), has))
+        if has:
+            open_.append(i)
+        while open_ and i >= open_[0] + 2 * reach:
+            yield cut()
+        if cue is None and not open_:
+            return
+        if len(held) > 8 * reach:
+            keep = max(base, (open_[0] if open_ else i + 1) - reach)
+            del held[: keep - base]
+            base = keep
+    while open_:
+        yield cut()
+
+
 def best_span(words: np.ndarray, wanted: np.ndarray) -> tuple[int, int, int]:
-    """(differences, first, last + 1) of the span of words that is nearest to wanted; the leftmost shortest of equals."""
+    """(differences, first, last + 1) of the span of words that is nearest to wanted; the leftmost shortest of equals.
+
+    Words of -1 are taken: no span goes over them.
+    """
     n = words.size
     cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    steps = np.arange(n + 1)
-    for i, w in enumerate(wanted):
-        up, diag = cost + 1, cost[:-1] + (words != w)
+    each = np.where(words == -1, NEVER, 1)
+    steps, along = np.arange(n + 1), np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
+    for w in wanted:
+        up, diag = cost + 1, cost[:-1] + np.where(words == w, 0, each)
         new, origin = up.copy(), start.copy()
         better = diag <= up[1:]
         new[1:][better], origin[1:][better] = diag[better], start[:-1][better]
-        shifted = new - steps  # insertions run to the right
+        shifted = new - along  # insertions run to the right
         low = np.minimum.accumulate(shifted)
         at = np.maximum.accumulate(np.where(shifted == low, steps, 0))
-        cost, start = low + steps, origin[at]
-        del i
+        cost, start = low + along, origin[at]
     end = int(cost.argmin())
     return int(cost[end]), int(start[end]), end
 
@@ -90,37 +120,54 @@ class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
         self.words = [[normal(w) for w in WORD.findall(t)] for _, t in templates]
+        self.most = [int(TOLERANCE * len(w)) for w in self.words]
+        #: No span that is confirmed has more words.
+        self.reach = max((len(w) + n for w, n in zip(self.words, self.most, strict=True)), default=0)
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template), best first."""
-        raw = " ".join(block.lower().split()).encode()
+    def possible(self, have: set[str]) -> list[int]:
+        """Templates of which no more words are missing than may differ."""
+        return [k for k, words in enumerate(self.words) if words and sum(w not in have for w in words) <= self.most[k]]
+
+    def ranked(self, block: str, which: list[int]) -> list[tuple[float, int]]:
+        """(share of the compressed size saved, template) of these templates, best first."""
+        raw = " ".join(block.lower().split()).encode("utf-8", "replace")
         alone = len(self.plain.compress(raw))
-        saved = [(1 - len(c.compress(raw)) / alone, k) for k, c in enumerate(self.given)]
-        return sorted((x for x in saved if x[0] > 0), key=lambda x: (-x[0], x[1]))
+        return sorted(((1 - len(self.given[k].compress(raw)) / alone, k) for k in which), key=lambda x: (-x[0], x[1]))
+
+    def spans(self, k: int, words: list[str | None]) -> Iterator[tuple[int, int, int]]:
+        """(differences, first, last + 1) of the spans confirmed for a template, nearest first; words of None are taken."""
+        ids = {w: i for i, w in enumerate(dict.fromkeys(self.words[k]))}
+        wanted = np.array([ids[w] for w in self.words[k]])
+        own = np.array([-1 if w is None else ids.get(w, -2) for w in words])
+        while (own >= 0).sum() >= wanted.size - self.most[k]:
+            n, a, b = best_span(own, wanted)
+            if n > self.most[k]:
+                return
+            yield n, a, b
+            own[a:b] = -1
 
     def scan(self, text: str) -> list[tuple]:
         """(licence, start, length, differences, template words, saved)."""
-        found = []
-        for s, e in blocks(text):
-            spans = [(m.start() + s, m.end() + s, normal(m.group())) for m in WORD.finditer(text[s:e])]
-            taken = np.zeros(len(spans), bool)
-            order = self.ranked(text[s:e])
-            # longer wordings first among the best, so that a notice inside a longer one doesn't hide it
-            have = {x[2] for x in spans}
-            tried = sorted(order[:TRIED], key=lambda x: (-len(self.words[x[1]]), sum(w not in have for w in self.words[x[1]]))) + order[TRIED:]
-            for saved, k in tried:
-                ids = {w: i for i, w in enumerate(dict.fromkeys(self.words[k]))}
-                wanted = np.array([ids[w] for w in self.words[k]])
-                words = np.array([-1 if taken[i] else ids.get(x[2], -2) for i, x in enumerate(spans)])
-                while words.size and (words >= 0).any():
-                    n, a, b = best_span(words, wanted)
-                    if n > TOLERANCE * wanted.size or taken[a:b].any():
-                        break
-                    found.append((self.names[k], spans[a][0], spans[b - 1][1] - spans[a][0], n, int(wanted.size), saved))
-                    taken[a:b] = True
-                    words[a:b] = -1
+        found, taken = [], set()
+        for base, held, last in windows(text, self.reach):
+            while True:
+                words = [None if base + i in taken else x[2] for i, x in enumerate(held)]
+                which = self.possible(set(words))
+                some = []
+                for saved, k in self.ranked(text[held[0][0] : held[-1][1]], which) if which else []:
+                    for n, a, b in self.spans(k, words):
+                        # a span whose cues are all of later words may go on behind this window, which isn't its own
+                        cues = [base + i for i in range(a, b) if held[i][3]]
+                        if not cues or cues[0] <= last:
+                            some.append((len(self.words[k]) - n, n, saved, k, a, b))
+                if not some:
+                    break
+                for _, n, saved, k, a, b in sorted(some, key=lambda x: (-x[0], x[1], -x[2], x[3], x[4])):
+                    if taken.isdisjoint(range(base + a, base + b)):
+                        taken.update(range(base + a, base + b))
+                        found.append((self.names[k], held[a][0], held[b - 1][1] - held[a][0], n, len(self.words[k]), saved))
         return sorted(found, key=lambda x: x[1])
 
 

@@ -357,3 +357,39 @@ def test_licenses_wrapped(leader):
             lines = textwrap.wrap(wording, width, initial_indent=leader, subsequent_indent=leader)
             got = s.scan("\n".join(["int main() {", *lines, leader.rstrip(), "more code here"]))
             assert [(g[0], g[3]) for g in got] == [(name, 0)], (width, lines, got)
+
+
+def test_licenses_in_long_lines():
+    """Notices in long text, whether or not the dictionary makes it smaller, and among many cues."""
+    s, rng = license_scan.Scanner(), random.Random(8)
+    some = [w for w in open(license_scan.re.__file__).read().split() if w.isalpha()]
+    for size in (100, 300, 900, 4000):
+        for name, wording in (x for x in license_scan.TEMPLATES if len(x[1]) < 80):
+            for cues in (0, 40):
+                words = [rng.choice(some) + str(rng.randrange(1000)) for _ in range(size)]
+                for k in range(0, size, max(1, size // cues) if cues else size):
+                    words[k] = "copyright"
+                words.insert(rng.randrange(size), wording)
+                got = s.scan(" ".join(words))
+                assert [(g[0], g[3]) for g in got] == [(name, 0)], (size, cues, wording, got)
+    every = "\n".join(" ".join(rng.choices(some, k=30)) + " " + t for _, t in license_scan.TEMPLATES * 20)
+    assert [(g[0], g[3]) for g in s.scan(every)] == [(n, 0) for n, _ in license_scan.TEMPLATES * 20]
+
+
+def test_best_span_by_brute_force():
+    """No span goes over taken words; the least number of differences is found."""
+    rng = np.random.RandomState(9)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for _ in range(200):
+        words, wanted = rng.randint(-1, 4, 14), rng.randint(0, 4, 5)
+        n, a, b = license_scan.best_span(words, wanted)
+        every = {(i, j): distance(words[i:j], wanted) for i in range(15) for j in range(i, 15) if -1 not in words[i:j]}
+        assert n == min(every.values()) == every[a, b]
