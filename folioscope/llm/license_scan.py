@@ -3,7 +3,8 @@
 Overlapping windows of bounded size surround the licence cues, over line ends; a notice with a cue lies whole in the
 window that has the cue. Templates of which too many words are missing from a window can't be in it; all others are
 confirmed by exact wording: the least number of word insertions, deletions and replacements that turn some span of the
-window into the template, at most a fifth of its words. The window is compressed by zstandard alone and with each of
+window into the template, at most a fifth of its words and none of those that say which licence it is (name, version,
+BY, NC, ND, SA). The window is compressed by zstandard alone and with each of
 these templates as raw-content dictionary; the share saved is given and orders equals, but drops none. Spans don't
 overlap; those with more words of their template come first.
 
@@ -48,13 +49,42 @@ CUE = re.compile(r"licen[sc]e|permission|redistribut|copyright|public[\W_]+domai
 WORD = re.compile(r"[^\W_]+(?:(?:[.'/]|-(?:[ \t\r]*\n[^\w\n]*)?)[^\W_]+)*")
 BREAK = re.compile(r"\s*\n[^\w\n]*")
 TOLERANCE = 0.2
+#: Words that say which licence it is. Where a wording has such a phrase, a span must have it word for word, with
+#: nothing in between. Licences that aren't listed: the parts of their name.
+IDENTIFYING = {
+    "Apache-2.0": ("Apache", "2.0"),
+    "MIT": ("MIT", "this permission notice"),
+    "GPL-3.0": ("GNU General Public License", "3"),
+    "GPL-2.0": ("GNU General Public License", "2"),
+    "BSD": ("source and binary forms",),
+    "MPL-2.0": ("Mozilla Public License", "2.0"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "CC0-1.0": ("CC0",),
+    "Unlicense": ("unencumbered", "public domain"),
+}
+NUMBER = re.compile(r"v?(\d+)(?:\.0)*")
 #: More than any number of differences: the price of what a span must not have.
 NEVER = 1 << 30
 
 
 def normal(word: str) -> str:
-    """A word as it is compared: in lower case, without a line break inside."""
-    return BREAK.sub("", word.lower())
+    """A word as it is compared: in lower case, without a line break inside; v2.0 is 2, and licence is license."""
+    word = BREAK.sub("", word.lower())
+    number = NUMBER.fullmatch(word)
+    return number.group(1) if number else word.replace("licence", "license")
+
+
+def identifying(words: list[str], phrases: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of a wording: whether it must be there, and whether nothing may come between it and the next."""
+    exact, joined = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    for p in phrases:
+        own = [normal(w) for w in WORD.findall(p)]
+        for i in range(len(words) - len(own) + 1):
+            if own and words[i : i + len(own)] == own:
+                exact[i : i + len(own)], joined[i : i + len(own) - 1] = True, True
+    return exact, joined
 
 
 def windows(text: str, reach: int) -> Iterator[tuple[int, list[tuple[int, int, str, bool]], int]]:
@@ -94,20 +124,25 @@ def windows(text: str, reach: int) -> Iterator[tuple[int, list[tuple[int, int, s
         yield cut()
 
 
-def best_span(words: np.ndarray, wanted: np.ndarray) -> tuple[int, int, int]:
+def best_span(words: np.ndarray, wanted: np.ndarray, exact: np.ndarray | None = None, joined: np.ndarray | None = None) -> tuple[int, int, int]:
     """(differences, first, last + 1) of the span of words that is nearest to wanted; the leftmost shortest of equals.
 
-    Words of -1 are taken: no span goes over them.
+    Words of -1 are taken: no span goes over them. Wanted words that are exact can't differ, and after joined ones
+    nothing is inserted.
     """
     n = words.size
     cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
     each = np.where(words == -1, NEVER, 1)
     steps, along = np.arange(n + 1), np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
-    for w in wanted:
-        up, diag = cost + 1, cost[:-1] + np.where(words == w, 0, each)
+    for i, w in enumerate(wanted):
+        must = exact is not None and exact[i]
+        up, diag = cost + (NEVER if must else 1), cost[:-1] + np.where(words == w, 0, NEVER if must else each)
         new, origin = up.copy(), start.copy()
         better = diag <= up[1:]
         new[1:][better], origin[1:][better] = diag[better], start[:-1][better]
+        if joined is not None and joined[i]:
+            cost, start = new, origin
+            continue
         shifted = new - along  # insertions run to the right
         low = np.minimum.accumulate(shifted)
         at = np.maximum.accumulate(np.where(shifted == low, steps, 0))
@@ -120,6 +155,7 @@ class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
         self.words = [[normal(w) for w in WORD.findall(t)] for _, t in templates]
+        self.marks = [identifying(w, IDENTIFYING.get(n, tuple(n.split("-")))) for n, w in zip(self.names, self.words, strict=True)]
         self.most = [int(TOLERANCE * len(w)) for w in self.words]
         #: No span that is confirmed has more words.
         self.reach = max((len(w) + n for w, n in zip(self.words, self.most, strict=True)), default=0)
@@ -127,8 +163,13 @@ class Scanner:
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
 
     def possible(self, have: set[str]) -> list[int]:
-        """Templates of which no more words are missing than may differ."""
-        return [k for k, words in enumerate(self.words) if words and sum(w not in have for w in words) <= self.most[k]]
+        """Templates of which no more words are missing than may differ, and no identifying one."""
+        out = []
+        for k, words in enumerate(self.words):
+            gone = [i for i, w in enumerate(words) if w not in have]
+            if words and len(gone) <= self.most[k] and not self.marks[k][0][gone].any():
+                out.append(k)
+        return out
 
     def ranked(self, block: str, which: list[int]) -> list[tuple[float, int]]:
         """(share of the compressed size saved, template) of these templates, best first."""
@@ -142,7 +183,7 @@ class Scanner:
         wanted = np.array([ids[w] for w in self.words[k]])
         own = np.array([-1 if w is None else ids.get(w, -2) for w in words])
         while (own >= 0).sum() >= wanted.size - self.most[k]:
-            n, a, b = best_span(own, wanted)
+            n, a, b = best_span(own, wanted, *self.marks[k])
             if n > self.most[k]:
                 return
             yield n, a, b

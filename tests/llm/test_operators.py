@@ -393,3 +393,18 @@ def test_best_span_by_brute_force():
         n, a, b = license_scan.best_span(words, wanted)
         every = {(i, j): distance(words[i:j], wanted) for i in range(15) for j in range(i, 15) if -1 not in words[i:j]}
         assert n == min(every.values()) == every[a, b]
+
+
+def test_licenses_without_template():
+    """Licences that have no template aren't taken for one that has; other words may still differ."""
+    s = license_scan.Scanner()
+    long = {n: t for n, t in license_scan.TEMPLATES}
+    for t in (
+        "Licensed under the BSD License.", "Licensed under the MIT-0 License.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY ND 4.0.", "Licensed under CC BY 3.0.",
+        "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+        long["GPL-3.0"].replace("General", "Affero General"), long["GPL-2.0"].replace("2", "1"), long["MPL-2.0"].replace("2.0", "1.1"), long["Apache-2.0"].replace("2.0", "1.1"),
+    ):
+        assert s.scan(t) == [], t
+    for name, t in (("MIT", "Published under the MIT licence."), ("Apache-2.0", "Licensed under the Apache License v2.0"), ("GPL-3.0", "This program is licensed under the GNU General Public Licence, version 3.0."), ("CC-BY-SA-4.0", "License: shared under CC BY-SA 4.0")):
+        assert [g[0] for g in s.scan(t)] == [name], t
