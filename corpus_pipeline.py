@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: language ID, toxicity, exact and near deduplication, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
-of documents. Rows whose doc_id is null can't be told apart by the two deduplication stages and stay.
+of documents. The two deduplication stages number the rows, so each row has its own decision, whether its doc_id is
+null, repeats, or stands for several texts.
 """
 
 from __future__ import annotations
@@ -26,16 +27,31 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.keep_civil(docs, lexicon)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a stored number _row of each row, in the order of doc_id; null ids come last.
+
+    Rows of equal ids are ordered by their text and place, so no key is too frequent for a range.
+    """
+    ordered = docs.withColumn("_at", F.monotonically_increasing_id()).sort(F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text"), "_at")
+    return stored(ordered.drop("_at").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def staying(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The numbered rows that an operator, told to take the number as id, keeps; without the number."""
+    dropped = stored(groups.where(~F.col("kept")).select("doc_id"), "dropped")
+    return exact_dedup.without(rows, dropped, "_row").drop("_row")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
-    groups = exact_dedup.exact_groups(docs)
-    return exact_dedup.without(docs, stored(groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "dropped"))
+    """Of rows of equal text one with the smallest doc_id stays."""
+    rows = numbered(docs)
+    return staying(rows, exact_dedup.exact_groups(rows, id_col="_row"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
-    groups = near_dedup.near_groups(docs)
-    return exact_dedup.without(docs, stored(groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "dropped"))
+    """Of each group of near-duplicates one row with the smallest doc_id stays."""
+    rows = numbered(docs)
+    return staying(rows, near_dedup.near_groups(rows, id_col="_row"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

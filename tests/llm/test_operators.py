@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from folioscope.llm import exact_dedup, language_id, lattice_lm, license_scan, media, near_dedup, packing, piece_bpe, queries, token_files, toxicity
 from folioscope.llm.components import components
 from folioscope.llm.piece_encoder import Encoder
@@ -408,3 +409,15 @@ def test_licenses_without_template():
         assert s.scan(t) == [], t
     for name, t in (("MIT", "Published under the MIT licence."), ("Apache-2.0", "Licensed under the Apache License v2.0"), ("GPL-3.0", "This program is licensed under the GNU General Public Licence, version 3.0."), ("CC-BY-SA-4.0", "License: shared under CC BY-SA 4.0")):
         assert [g[0] for g in s.scan(t)] == [name], t
+
+
+def test_pipeline_drops_rows(spark):
+    """Ids that repeat, with the same or other texts, and null ids: of each text one row with the smallest id stays."""
+    words = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "ABCDEF"}
+    own = [(7, "A"), (7, "B"), (3, "B"), (5, "C"), (5, "C"), (None, "C"), (None, "D"), (None, "D"), (4, "E"), (None, "E"), (7, "F"), (9, "F")]
+    want = [("3", "B"), ("4", "E"), ("5", "C"), ("7", "A"), ("7", "F"), ("None", "D")]
+    for stage, change in ((corpus_pipeline.exact_stage, lambda t, k: t), (corpus_pipeline.near_stage, lambda t, k: f"{t} x{k}")):
+        docs = spark.createDataFrame([(i, change(words[x], k), "en") for k, (i, x) in enumerate(own)], "doc_id long, text string, lang string").repartition(4)
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert sorted((str(r.doc_id), r.text[0]) for r in got.collect()) == want
