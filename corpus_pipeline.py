@@ -48,10 +48,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return staying(rows, exact_dedup.exact_groups(rows, id_col="_row"))
 
 
+#: Similarity of word shingles, in percent, from which the near stage links rows; op7's contract has its own.
+NEAR_PERCENT = 80
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row with the smallest doc_id stays."""
     rows = numbered(docs)
-    return staying(rows, near_dedup.near_groups(rows, id_col="_row"))
+    return staying(rows, near_dedup.near_groups(rows, id_col="_row", percent=NEAR_PERCENT))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

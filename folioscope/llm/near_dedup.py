@@ -1,7 +1,8 @@
 """Operator 7, MinHash near-duplicates with sequential Bayesian verification.
 
 * Documents with equal words form a class; classes are the nodes of everything that follows.
-* Signatures of 120 minima in 20 bands of 6: two sets at the limit of 0.85 miss every band with probability 8e-5.
+* Signatures of 120 minima. The limit is an argument, and bands follow from it: as wide as lets two sets at the limit
+  miss every band with a probability of 1e-4 at most (20 bands of 6 at 0.85, 8e-5; 24 of 5 at 0.80, 7e-5).
 * Buckets of a band are never expanded into all pairs. Each member meets its bucket's pivot first (twice, with other
   pivots); members whose components then agree are settled. Only buckets that still hold several components go on:
   members outside the largest component meet all others, block by block of bounded size, inside the task.
@@ -31,9 +32,11 @@ from .components import components
 from .exact_dedup import bit_filter, may_hit
 
 WORDS = 5
+#: The limit unless another is given.
 PERCENT = 85
-BANDS, ROWS = 20, 6
-HASHES = BANDS * ROWS
+HASHES = 120
+#: Probability of missing every band that a pair at the limit may have.
+MISSED_BANDS = 1e-4
 STEP = 20
 #: Posterior probability under which a pair is dropped, at each of the comparisons of 20 values.
 MISS = 1e-5
@@ -112,11 +115,19 @@ def shingle_set(text: str) -> set[tuple[bytes, ...]]:
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
 
-def linked(a: set, b: set) -> bool:
-    if not a or not b or min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
+def linked(a: set, b: set, percent: int = PERCENT) -> bool:
+    if not a or not b or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
     both = len(a & b)
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """Bands and rows of each for a limit: the widest bands of which a pair at the limit shares one surely enough."""
+    fits = [r for r in range(1, HASHES + 1) if HASHES % r == 0 and (1 - (percent / 100) ** r) ** (HASHES // r) <= MISSED_BANDS]
+    if not fits:
+        raise ValueError(f"signatures of {HASHES} values can't find pairs at {percent} %")
+    return HASHES // max(fits), max(fits)
 
 
 @functools.lru_cache(maxsize=4)
@@ -134,10 +145,10 @@ def least_matches(limit: float = PERCENT / 100, miss: float = MISS) -> tuple[int
     return tuple(out)
 
 
-def survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def survivors(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Indices of pairs of signature rows that stay after every step."""
     alive, got = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for k, least in enumerate(least_matches()):
+    for k, least in enumerate(least_matches(percent / 100)):
         part = slice(k * STEP, (k + 1) * STEP)
         got = got + (a[alive, part] == b[alive, part]).sum(axis=1)
         stay = got >= least
@@ -172,13 +183,13 @@ def word_key(text: str):
     return F.unhex(F.sha2(F.trim(F.regexp_replace(low, SPACE, " ")).cast("binary"), 256))
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) among distinct pairs (a, b): prune on signatures, confirm on texts."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.select([0, 1]).take(pa.array(survivors(rows_of(b.column(2)), rows_of(b.column(3)))))
+                yield b.select([0, 1]).take(pa.array(survivors(rows_of(b.column(2)), rows_of(b.column(3)), percent)))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +197,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             for i, (x, y, k) in enumerate(zip(b.column(2), b.column(3), b.column(1).to_pylist(), strict=True)):
                 if k != last:
                     last, own = k, shingle_set(y.as_py())
-                if linked(shingle_set(x.as_py()), own):
+                if linked(shingle_set(x.as_py()), own, percent):
                     keep.append(i)
             yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
@@ -197,7 +208,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(confirm, "a long, b long"), "links")
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def block_pairs(members: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs that survive pruning among (bucket, node, comp): those outside a bucket's largest component against all others.
 
     Members are dealt to blocks of about BLOCK; a block of the minor ones and a block of all meet in one group of rows.
@@ -220,7 +231,7 @@ def block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
                 nb, cb = np.array([r[4] for r in right]), np.array([r[5] for r in right])
                 for k, r in enumerate(left):
                     other = np.flatnonzero(cb != r[5])
-                    hit = other[survivors(np.broadcast_to(sa[k], (other.size, HASHES)), sb[other])]
+                    hit = other[survivors(np.broadcast_to(sa[k], (other.size, HASHES)), sb[other], percent)]
                     a += [r[4]] * hit.size
                     b += nb[hit].tolist()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -240,14 +251,15 @@ def block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return grouped.mapInArrow(meet, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, percent: int = PERCENT) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept. Sets are linked from percent % on."""
+    bands, width = banding(percent)
     rows = id_text(docs, id_col, text_col)
     signed = sign(rows)
     classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("min_doc"), F.min_by("sig", "row").alias("sig"))
     nodes = stored(classes, "nodes")
 
-    band = [F.xxhash64(F.lit(k), F.substring("sig", k * ROWS * 4 + 1, ROWS * 4)) for k in range(BANDS)]
+    band = [F.xxhash64(F.lit(k), F.substring("sig", k * width * 4 + 1, width * 4)) for k in range(bands)]
     buckets = nodes.select("node", F.explode(F.array(*band)).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1")
     members = stored(buckets.join(shared, "bucket"), "members")
@@ -257,7 +269,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stored(keyed.join(wanted.select("key", "node"), "key").select("node", "text"), "texts")
 
     pairs = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verify(pairs, wanted, texts)
+    links = verify(pairs, wanted, texts, percent)
     comps = stored(components(links), "components")
     open_ = members.where("m > 2").select("bucket", "node")
     for k in range(1, rounds + 1):
@@ -269,9 +281,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if k < rounds:
             pairs = known.where("comp != pivot_comp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         else:
-            pairs = block_pairs(known.select("bucket", "node", "comp"), wanted)
+            pairs = block_pairs(known.select("bucket", "node", "comp"), wanted, percent)
         stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))  # what is known, already contracted
-        comps = stored(components(stars.union(verify(pairs, wanted, texts))), "components")
+        comps = stored(components(stars.union(verify(pairs, wanted, texts, percent))), "components")
         open_ = known.select("bucket", "node")
 
     least = nodes.select("node", "min_doc").join(comps, "node").groupBy("component").agg(F.min("min_doc").alias("least"))

@@ -421,3 +421,22 @@ def test_pipeline_drops_rows(spark):
         got = stage(spark, docs, SF)
         assert got.columns == docs.columns
         assert sorted((str(r.doc_id), r.text[0]) for r in got.collect()) == want
+
+
+def test_near_stage_links_from_80(spark):
+    """Pairs between 0.80 and 0.85: the near stage links them, op7 doesn't; those under 0.80 stay."""
+    rng = random.Random(11)
+    own, between, under = [], set(), set()
+    while len(between) < 30 or len(under) < 30:
+        base = [f"k{rng.randrange(10**9)}" for _ in range(rng.randrange(90, 200))]
+        pair = [" ".join(base), near(base, rng, rng.choice((2, 3, 4, 5, 6)))]
+        a, b = map(near_dedup.shingle_set, pair)
+        j = len(a & b) / len(a | b)
+        if 0.77 < j < 0.85:
+            (between if j >= 0.8 else under).add(len(own) + 1)
+            own += [(len(own), pair[0]), (len(own) + 1, pair[1])]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()}
+    assert left == {i for i, _ in own} - between
+    assert near_dedup.near_groups(docs).where("kept").count() == len(own)
+    assert near_dedup.banding(85) == (20, 6) and near_dedup.banding(80) == (24, 5)
