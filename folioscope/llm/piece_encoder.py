@@ -2,7 +2,8 @@
 
 The two vocabularies never join tokens across the cuts used here, so a text's ids are those of its cuts in order.
 Cuts repeat, so each worker keeps their ids, at most ``keep`` of them in two generations (memory is bounded); a cut
-that isn't kept is encoded by the library. Texts where the cuts would not be safe go to the library whole.
+that isn't kept is encoded by the library. Texts where the cuts would not be safe, those with an added
+token's literal among them, go to the library whole.
 """
 
 from __future__ import annotations
@@ -60,7 +61,11 @@ class Encoder:
 
         self.kind = kind
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        #: In any case of letters, as the library may look for a literal in text that it has lower-cased.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
+        #: What literals begin with before their first letter: a quick test.
+        self.marks = {re.match(r"\W*", t).group() for t in added}
         self.model = self.library.model
         self.letters = byte_letters()
         self.cuts, self.pieces = Kept(keep), Kept(keep // 4)
@@ -89,6 +94,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 16-bit integers."""
         first = b""
+        if any(m in text for m in self.marks) and self.added.search(text):
+            return self.by_library(text)
         if self.kind == "word":
             cuts = text.split() if not CONTROLS.search(text) else NOT_SPACE.findall(text)
         else:

@@ -440,3 +440,16 @@ def test_near_stage_links_from_80(spark):
     assert left == {i for i, _ in own} - between
     assert near_dedup.near_groups(docs).where("kept").count() == len(own)
     assert near_dedup.banding(85) == (20, 6) and near_dedup.banding(80) == (24, 5)
+
+
+@pytest.mark.parametrize("kind,path", [("byte", BPE), ("word", WORDS)])
+def test_added_tokens_are_the_librarys(kind, path):
+    """Texts with an added token's literal have the ids of a tokenizer as it is loaded."""
+    from tokenizers import Tokenizer
+
+    enc, library = Encoder(path, kind), Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in added
+    for x in added:
+        for t in (x, f"a {x} b", f"a{x}b", f"{x}{x} ", f" the cat\n{x}\tsat", f"A {x.upper()} b", f"a {x.title()}", f"it's {x[:-1]} {x[1:]}", "plain text", "a <| b"):
+            assert np.frombuffer(enc.encode(t), np.uint16).tolist() == library.encode(t, add_special_tokens=False).ids, t
