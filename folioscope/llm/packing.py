@@ -1,9 +1,10 @@
 """Operator 6, lexical retrieval packing: BM25 neighbours of a seed document greedily fill its window.
 
 Texts are encoded once and the ids stored. Document frequencies of all terms (token ids, so at most the vocabulary)
-are counted over the whole table. Each task cuts its rows into shards of bounded size and builds an inverted index of
-each; a window's seed (the rest of a cut document, else the first unused one) queries it with its weightiest terms,
-and unused neighbours are laid in by score. The neighbour that no longer fits is cut, and its rest seeds the next
+are counted over the whole table. Documents are then ordered by a sketch of their weightiest terms, common ones before
+rare ones, and dealt by ranges of it, so that documents of like content meet wherever they are stored; places in the
+table part those of one sketch. Each task cuts its range into shards of bounded size and builds an inverted index of
+each; a window's seed (the rest of a cut document, else the first unused one) queries it with all its terms, and unused neighbours are laid in by score. The neighbour that no longer fits is cut, and its rest seeds the next
 window, so windows are full; what a shard has left at the end goes into sequences whose lengths are powers of two.
 
 Defined cases: a null or empty text is its end id alone; a document longer than a window fills as many as it needs;
@@ -31,7 +32,10 @@ VOCABULARY = 1 << 16
 #: A shard ends at so many tokens or documents.
 SHARD_TOKENS, SHARD_DOCS = 2_000_000, 4096
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
+#: Levels of a sketch: terms that a fifth of all documents have at least, then an eighth of that, and so on.
+LEVELS, COARSEST, FINER = 6, 5, 8
+#: Ranges are dealt so that they fill a shard to this share, as their sizes come from a sample.
+FILLED = 0.8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,26 +59,64 @@ def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key // len(docs), key % len(docs), tf
 
 
-def document_frequencies(ids: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those with each term; at most one row for each term reaches the driver."""
+def document_frequencies(ids: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Number of documents, of ids, and of documents with each term; at most one row for each term reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(VOCABULARY, np.int64), 0
+        df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = [np.frombuffer(x.as_buffer(), "<u2") for x in b.column(0)[at : at + 256]]
                 df += np.bincount(postings(some)[0], minlength=VOCABULARY)
                 n += len(some)
+                tokens += sum(x.size for x in some)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": np.append(at, -1), "n": np.append(df[at], n)})
+        yield pa.RecordBatch.from_pydict({"term": np.append(at, (-1, -2)), "n": np.append(df[at], (n, tokens))})
 
-    df, n = np.zeros(VOCABULARY, np.int64), 0
+    df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
     for r in ids.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r.term < 0:
+        if r.term == -1:
             n = r.n
+        elif r.term == -2:
+            tokens = r.n
         else:
             df[r.term] = r.n
-    return n, df
+    return n, tokens, df
+
+
+def sketches(docs: list[np.ndarray], n: int, df: np.ndarray, idf: np.ndarray, mean: float) -> list[bytes]:
+    """For each document its weightiest term of each level of frequency, from common to rare, as bytes in that order."""
+    term, doc, tf = postings(docs)
+    size = np.array([d.size for d in docs])
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+    order = np.lexsort((term, -weight, doc))
+    term, doc = term[order], doc[order]
+    out = np.full((len(docs), LEVELS), VOCABULARY - 1, ">u2")
+    for k in range(LEVELS):
+        some = np.flatnonzero(df[term] >= max(2, n / (COARSEST * FINER**k)))
+        owner, first = np.unique(doc[some], return_index=True)
+        out[owner, k] = term[some[first]]
+    return [x.tobytes() for x in out]
+
+
+def placed(ids: DataFrame, n: int, tokens: int, df: np.ndarray) -> DataFrame:
+    """(doc_id, ids) in the order of sketches, in ranges of about a shard."""
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    shared = ids.sparkSession.sparkContext.broadcast((df, idf))
+    mean = max(1.0, tokens / max(1, n))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, idf = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                got = sketches([np.frombuffer(x.as_buffer(), "<u2") for x in some.column(1)], n, df, idf, mean)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(got, pa.binary())], ["doc_id", "ids", "row", "sketch"])
+
+    ranges = max(1, math.ceil(tokens / (FILLED * SHARD_TOKENS)), math.ceil(n / (FILLED * SHARD_DOCS)))
+    rows = ids.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
+    rows = rows.mapInArrow(sketch, "doc_id long, ids binary, row long, sketch binary")
+    return rows.repartitionByRange(ranges, "sketch", "row").sortWithinPartitions("sketch", "row").select("doc_id", "ids")
 
 
 class Shard:
@@ -87,13 +129,13 @@ class Shard:
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.doc, self.weight = doc, weight
         self.at = np.searchsorted(term, np.arange(VOCABULARY + 1))
-        order = np.lexsort((-weight, doc))
+        order = np.argsort(doc, kind="stable")
         starts = np.searchsorted(doc[order], np.arange(len(docs) + 1))
-        self.query = [term[order[s : min(s + QUERY_TERMS, e)]] for s, e in zip(starts[:-1], starts[1:], strict=True)]
+        self.query = [term[order[s:e]] for s, e in zip(starts[:-1], starts[1:], strict=True)]
         self.unused = np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> list[int]:
-        """Unused documents by BM25 score for the seed's weightiest terms."""
+        """Unused documents by BM25 score for all of the seed's terms."""
         spans = [(self.at[t], self.at[t + 1]) for t in self.query[seed]]
         if not spans:
             return []
@@ -147,14 +189,14 @@ class Shard:
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1) -> DataFrame:
     """One row for each piece. Sequence ids are unique: the task's number, then a count."""
     ids = encode_documents(docs, tokenizer, kind, end_id)
-    n, df = document_frequencies(ids)
+    n, tokens, df = document_frequencies(ids)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))  # one number for each term
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 32
         names = [x.split()[0] for x in PIECES.split(", ")]
-        doc_ids, held, tokens = [], [], 0
+        doc_ids, held, tokens = [], [], 0  # of one shard
 
         def flush():
             nonlocal sequence, doc_ids, held, tokens
@@ -173,7 +215,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
         if held:
             yield from flush()
 
-    return ids.mapInArrow(run, PIECES)
+    return placed(ids, n, tokens, df).mapInArrow(run, PIECES)
 
 
 def padding(lengths: list[int]) -> int:

@@ -453,3 +453,40 @@ def test_added_tokens_are_the_librarys(kind, path):
     for x in added:
         for t in (x, f"a {x} b", f"a{x}b", f"{x}{x} ", f" the cat\n{x}\tsat", f"A {x.upper()} b", f"a {x.title()}", f"it's {x[:-1]} {x[1:]}", "plain text", "a <| b"):
             assert np.frombuffer(enc.encode(t), np.uint16).tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_packing_meets_across_partitions(spark):
+    """Near copies that are stored in different partitions are laid into one window."""
+    rng = random.Random(12)
+    vocabulary = [w for w in open(re.__file__).read().lower().split() if w.isalpha()]
+    base = [rng.choices(sorted(set(vocabulary)), k=250) for _ in range(60)]
+    own = [(k * 2 + j, " ".join(b if j else b[:-5])) for j in (0, 1) for k, b in enumerate(base)]
+    frame = spark.createDataFrame(own, "doc_id long, text string").repartition(40)
+    at = defaultdict(set)
+    for r in packing.pack_documents(frame, WORDS).collect():
+        at[r.doc_id].add(r.sequence_id)
+    assert sum(bool(at[2 * k] & at[2 * k + 1]) for k in range(60)) > 40
+
+
+def test_packing_places_by_content(spark, monkeypatch):
+    """Of many shards, the one that a document goes to has its like."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    rng = np.random.RandomState(13)
+    topics = [np.arange(1000 + 50 * k, 1040 + 50 * k) for k in range(20)]
+    own = [(k, np.concatenate((rng.choice(topics[k % 20], 60), rng.randint(0, 900, 60))).astype("<u2").tobytes()) for k in range(200)]
+    ids = spark.createDataFrame([(i, bytearray(x)) for i, x in own], "doc_id long, ids binary").repartition(7)
+    got = packing.placed(ids, *packing.document_frequencies(ids)).selectExpr("doc_id", "spark_partition_id() AS p").collect()
+    assert sorted(r.doc_id for r in got) == list(range(200)) and len({r.p for r in got}) > 8
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.doc_id % 20].append(r.p)
+    assert sum(Counter(v).most_common(1)[0][1] for v in shards.values()) > 120
+
+
+def test_packing_queries_with_all_terms():
+    """A neighbour that shares none of the seed's weightiest terms."""
+    own = [np.repeat(np.arange(100, 140), 3), np.arange(140, 180), np.arange(500, 560)]
+    own[0] = np.append(own[0], np.arange(140, 180))
+    shard = packing.Shard([0, 1, 2], [x.astype("<u2") for x in own], np.ones(packing.VOCABULARY), 100.0)
+    shard.unused[0] = False
+    assert shard.neighbours(0) == [1]
