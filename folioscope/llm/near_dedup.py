@@ -3,11 +3,14 @@
 * Documents with equal words form a class; classes are the nodes of everything that follows.
 * Signatures of 120 minima. The limit is an argument, and bands follow from it: as wide as lets two sets at the limit
   miss every band with a probability of 1e-4 at most (20 bands of 6 at 0.85, 8e-5; 24 of 5 at 0.80, 7e-5).
-* Buckets of a band are never expanded into all pairs. Each member meets its bucket's pivot first (twice, with other
-  pivots); members whose components then agree are settled. Only buckets that still hold several components go on:
-  members outside the largest component meet all others, block by block of bounded size, inside the task.
+* Buckets of a band are never expanded into all pairs. Each member meets its bucket's pivot first; only buckets that
+  still hold several components go on. Such a bucket of more than BLOCK members is first split by a prefix filter: two
+  sets at the limit share one of their shingles that are rarest in the bucket, so members meet by those alone. In a
+  block, members outside the largest component meet the others inside the task, on signatures and then on whole sets
+  of shingle hashes; a union-find leaves out what is joined already, so a block sends out a spanning forest: fewer
+  links than it has components. Blocks of cells that even so are larger than BLOCK meet in pairs.
 * A pair's signatures are compared 20 values at a time; it is dropped once the posterior probability of similarity
-  at the limit falls under MISS. What survives is confirmed on the full shingle sets of the texts.
+  at the limit falls under MISS. What survives is confirmed on the full shingle sets; links are proved on the texts.
 * Components come from star contraction in DataFrames.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; with fewer than five
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, id_text, stored
@@ -39,8 +42,9 @@ HASHES = 120
 MISSED_BANDS = 1e-4
 STEP = 20
 #: Posterior probability under which a pair is dropped, at each of the comparisons of 20 values.
-MISS = 1e-5
-BLOCK = 256
+MISS = 1e-4
+#: Members, and shingles of all members, that a block holds at most on average.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,14 +187,22 @@ def word_key(text: str):
     return F.unhex(F.sha2(F.trim(F.regexp_replace(low, SPACE, " ")).cast("binary"), 256))
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) among distinct pairs (a, b): prune on signatures, confirm on texts."""
+def pruned(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of distinct pairs (a, b) that no step of the comparison of signatures drops."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield b.select([0, 1]).take(pa.array(survivors(rows_of(b.column(2)), rows_of(b.column(3)), percent)))
 
+    sig = nodes.select("node", "sig")
+    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return stored(both.mapInArrow(prune, "a long, b long"), "alive")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs (a, b) that are linked by the shingles of their texts."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             last, own, keep = None, set(), []
@@ -201,90 +213,148 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int =
                     keep.append(i)
             yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    alive = stored(both.mapInArrow(prune, "a long, b long"), "alive")
-    both = alive.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return stored(both.mapInArrow(confirm, "a long, b long"), "links")
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs that survive pruning among (bucket, node, comp): those outside a bucket's largest component against all others.
+def opened(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, node, n, comp) of the buckets that hold several components."""
+    known = members.join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("comp"))
+    several = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+    return stored(known.hint("merge").join(several, "bucket"), "open")  # a merge join's hot partitions can be split
+
 
-    Members are dealt to blocks of about BLOCK; a block of the minor ones and a block of all meet in one group of rows.
+def hashed_sets(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, sig, hashes) of the nodes among members: the sorted hashes of all shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                own = [shingle_hashes(t.as_py()).view(np.int64) for t in part.column(2)]
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *(x.size for x in own)]).astype(np.int32), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["node", "sig", "hashes"])
+
+    wanted = nodes.select("node", "sig").join(members.select("node").distinct(), "node", "left_semi").join(texts, "node")
+    return stored(wanted.select("node", "sig", "text").mapInArrow(run, "node long, sig binary, hashes array<long>"), "sets")
+
+
+def split_large(members: DataFrame, sets: DataFrame, percent: int = PERCENT, most: int = BLOCK) -> DataFrame:
+    """(bucket, node, n, comp) with each bucket of more than ``most`` members in cells that lose no link.
+
+    Sets x and y at the limit share percent % of either, so of the size - ceil(percent %) + 1 shingles of each that come
+    first in any order they share one. The order is by frequency in the bucket, so most of these are in no other set.
     """
-    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
-    top = top.where("m > top.c").select("bucket", F.col("top.comp").alias("major"), F.expr("cast(ceil(m / %d) as int)" % BLOCK).alias("blocks"), F.expr("cast(ceil((m - top.c) / %d) as int)" % BLOCK).alias("minors"))
-    own = members.join(top, "bucket").withColumn("h", F.xxhash64("node"))
-    minor = own.where("comp != major").withColumn("i", F.pmod("h", "minors").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("minor", F.lit(True))
-    every = own.withColumn("j", F.pmod("h", "blocks").cast("int")).withColumn("i", F.explode(F.expr("sequence(0, minors - 1)"))).withColumn("minor", F.lit(False))
-    cols = ["bucket", "i", "j", "minor", "node", "comp"]
-    dealt = minor.select(cols).union(every.select(cols)).join(nodes.select("node", "sig"), "node").select(*cols, "sig")
+    large = stored(members.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > most).select("bucket"), "large")
+    if large.isEmpty():
+        return members
+    each = members.hint("merge").join(large, "bucket").join(sets.select("node", "hashes"), "node").select("bucket", "node", "n", "comp", F.explode("hashes").alias("s"))
+    often = each.groupBy("bucket", "s").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "node").orderBy("c", "s"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    cells = each.hint("merge").join(often, ["bucket", "s"]).withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("c") > 1))
+    cells = stored(cells.select(F.xxhash64("bucket", "s").alias("bucket"), "node", "n", "comp"), "cells")
+    several = cells.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+    return members.join(large, "bucket", "left_anti").union(cells.hint("merge").join(several, "bucket").select(members.columns))
+
+
+def forest(rows: pa.Table, percent: int = PERCENT) -> tuple[list[int], list[int]]:
+    """Links found between the components of a block's rows (node, comp, left, right, sig, hashes): left rows meet right ones.
+
+    Components that are joined count as one from then on, so there are fewer links than components.
+    """
+    node, comp, left, right = (rows[x].to_numpy() for x in ("node", "comp", "left", "right"))
+    sig = rows_of(rows["sig"])
+    lists = rows["hashes"].combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    shingle = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    owner = np.repeat(np.arange(node.size), size)[np.argsort(shingle, kind="stable")]  # the block's index of shingles
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(shingle))))
+    root = np.unique(comp, return_inverse=True)[1]
+    a, b = [], []
+    for k in np.flatnonzero(left):
+        fits = right & (root != root[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+        other = np.flatnonzero(fits)
+        alive = other[survivors(np.broadcast_to(sig[k], (other.size, HASHES)), sig[other], percent)]
+        if not alive.size:
+            continue
+        own = shingle[start[k] : start[k + 1]]
+        many = at[own + 1] - at[own]
+        places = np.arange(many.sum()) + np.repeat(at[own] - np.cumsum(many) + many, many)
+        both = np.bincount(owner[places], minlength=node.size)[alive]
+        for x in alive[100 * both >= percent * (size[k] + size[alive] - both)]:
+            if root[x] != root[k]:
+                a.append(int(node[k]))
+                b.append(int(node[x]))
+                root[root == root[x]] = root[k]
+    return a, b
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, most: int = BLOCK) -> DataFrame:
+    """Distinct links (a, b) that join the components of each bucket of (bucket, node, n, comp).
+
+    A bucket is one block where it fits; else blocks of its members outside the largest component meet blocks of all.
+    """
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"), F.sum("n").alias("n"))
+    blocks = f"cast(ceil(greatest(m / {most}, n / {BLOCK_SHINGLES})) as int)"
+    top = top.selectExpr("bucket", "top.comp as major", f"{blocks} as blocks", f"cast(ceil((m - top.c) * {blocks} / m) as int) as minors")
+    own = members.hint("merge").join(top, "bucket").withColumn("h", F.xxhash64("node"))
+    one = own.where("blocks = 1").selectExpr("bucket", "0 as i", "0 as j", "node", "comp", "comp != major as left", "true as right")
+    grid = own.where("blocks > 1")
+    minor = grid.where("comp != major").selectExpr("bucket", "cast(pmod(h, minors) as int) as i", "explode(sequence(0, blocks - 1)) as j", "node", "comp", "true as left", "false as right")
+    every = grid.selectExpr("bucket", "explode(sequence(0, minors - 1)) as i", "cast(pmod(h, blocks) as int) as j", "node", "comp", "false as left", "true as right")
+    dealt = one.union(minor).union(every).join(sets, "node").select("bucket", "i", "j", "node", "comp", "left", "right", "sig", "hashes")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list) -> pa.RecordBatch:
-            left, right = [r for r in rows if r[3]], [r for r in rows if not r[3]]
-            a, b = [], []
-            if left and right:
-                sa, sb = (np.frombuffer(b"".join(r[6] for r in x), "<u4").reshape(-1, HASHES) for x in (left, right))
-                nb, cb = np.array([r[4] for r in right]), np.array([r[5] for r in right])
-                for k, r in enumerate(left):
-                    other = np.flatnonzero(cb != r[5])
-                    hit = other[survivors(np.broadcast_to(sa[k], (other.size, HASHES)), sb[other], percent)]
-                    a += [r[4]] * hit.size
-                    b += nb[hit].tolist()
+        def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = forest(pa.Table.from_batches(held), percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        rows, key = [], None
+        held, key = [], None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != key:
-                    if rows:
-                        yield flush(rows)
-                    rows, key = [], r[:3]
-                rows.append(r)
-        if rows:
-            yield flush(rows)
+            cell = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            ends = [*(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for s, e in zip([0, *ends], ends):
+                if e > s:
+                    if held and tuple(cell[:, s]) != key:
+                        yield links(held)
+                        held = []
+                    key = tuple(cell[:, s])
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield links(held)
 
     grouped = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return grouped.mapInArrow(meet, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept. Sets are linked from percent % on."""
     bands, width = banding(percent)
     rows = id_text(docs, id_col, text_col)
     signed = sign(rows)
-    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("min_doc"), F.min_by("sig", "row").alias("sig"))
+    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("min_doc"), F.min_by("sig", "row").alias("sig"), F.min("n_shingles").alias("n"))
     nodes = stored(classes, "nodes")
 
     band = [F.xxhash64(F.lit(k), F.substring("sig", k * width * 4 + 1, width * 4)) for k in range(bands)]
-    buckets = nodes.select("node", F.explode(F.array(*band)).alias("bucket"))
+    buckets = nodes.select("node", "n", F.explode(F.array(*band)).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1")
-    members = stored(buckets.join(shared, "bucket"), "members")
+    members = stored(buckets.hint("merge").join(shared, "bucket"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     wanted = stored(wanted.select("node", "key", "sig"), "wanted")
     keyed = may_hit(rows.withColumn("key", word_key("text")), "key", bit_filter(wanted, "key")).groupBy("key").agg(F.first("text").alias("text"))
     texts = stored(keyed.join(wanted.select("key", "node"), "key").select("node", "text"), "texts")
 
     pairs = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verify(pairs, wanted, texts, percent)
-    comps = stored(components(links), "components")
-    open_ = members.where("m > 2").select("bucket", "node")
-    for k in range(1, rounds + 1):
-        known = open_.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-        several = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "comp")).alias("p")).where("lo != hi")
-        known = stored(known.join(several.select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "bucket"), "open")
-        if known.isEmpty():
-            break
-        if k < rounds:
-            pairs = known.where("comp != pivot_comp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        else:
-            pairs = block_pairs(known.select("bucket", "node", "comp"), wanted, percent)
+    comps = stored(components(confirmed(pruned(pairs, wanted, percent), texts, percent)), "components")
+    open_ = opened(members.where("m > 2").select("bucket", "node", "n"), comps)
+    if not open_.isEmpty():
+        sets = hashed_sets(open_, wanted, texts)
+        found = stored(block_links(split_large(open_, sets, percent), sets, percent), "found")
         stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))  # what is known, already contracted
-        comps = stored(components(stars.union(verify(pairs, wanted, texts, percent))), "components")
-        open_ = known.select("bucket", "node")
+        comps = stored(components(stars.union(confirmed(found, texts, percent))), "components")
 
     least = nodes.select("node", "min_doc").join(comps, "node").groupBy("component").agg(F.min("min_doc").alias("least"))
     named = nodes.select("key", "node", "min_doc").join(comps, "node", "left").join(least, "component", "left")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -271,8 +272,11 @@ def test_near_dedup(spark, docs, rows, empty, real):
     assert near_dedup.near_groups(empty).count() == 0
 
 
-def test_near_dedup_large_bucket(spark):
-    """Hundreds of texts that share most words: some near, some just below the limit."""
+@pytest.mark.parametrize("block", [2048, 24])
+def test_near_dedup_large_bucket(spark, monkeypatch, block):
+    """Hundreds of texts that share most words: some near, some just below the limit; in one block, and in many."""
+    monkeypatch.setattr(near_dedup.split_large, "__defaults__", (85, block))
+    monkeypatch.setattr(near_dedup.block_links, "__defaults__", (85, block // 4 if block < 100 else block))
     rng = random.Random(5)
     base = [f"b{k}" for k in range(220)]
     own = [(k, near(base, rng, rng.choice((1, 2, 3, 5, 7, 9)))) for k in range(400)]
@@ -280,6 +284,29 @@ def test_near_dedup_large_bucket(spark):
     assert sorted(got) == sorted((i, c) for i, _, c in brute_components(own))
 
 
+def test_block_sends_a_forest():
+    """The links of a block join the same components as all links do, and are fewer than the components."""
+    rng = random.Random(8)
+    base = [f"c{k}" for k in range(150)]
+    own = [near(base, rng, rng.choice((1, 2, 3, 4, 6))) for _ in range(120)]
+    hashes = [near_dedup.shingle_hashes(t) for t in own]
+    rows = pa.table({"node": range(120), "comp": [k // 2 * 2 for k in range(120)], "left": [True] * 120, "right": [True] * 120, "sig": [near_dedup.signature(h) for h in hashes], "hashes": pa.array([h.view(np.int64).tolist() for h in hashes])})
+    a, b = near_dedup.forest(rows)
+    assert 0 < len(a) < 60
+    root = {k: k // 2 * 2 for k in range(120)}
+
+    def merge(x, y):
+        old, new = root[x], root[y]
+        for k in root:
+            root[k] = new if root[k] == old else root[k]
+
+    for x, y in zip(a, b, strict=True):
+        assert near_dedup.linked(near_dedup.shingle_set(own[x]), near_dedup.shingle_set(own[y])) and root[x] != root[y]
+        merge(x, y)
+    sets = [near_dedup.shingle_set(t) for t in own]
+    assert all(root[x] == root[y] for x in range(120) for y in range(x) if near_dedup.linked(sets[x], sets[y]))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(a, a + 1) for a in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
