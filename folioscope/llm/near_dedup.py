@@ -22,6 +22,7 @@ table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -94,8 +95,8 @@ def word_hashes(text: bytes, block: int = 1 << 18) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    w = word_hashes(text.encode().lower())
+def shingle_hashes(text: bytes) -> np.ndarray:
+    w = word_hashes(text.lower())
     n = min(WORDS, w.size)
     if not n:
         return w
@@ -171,18 +172,20 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sigs = [], []
+            key, n, sigs = [], [], []
             for t in b.column(1):
-                h = shingle_hashes(t.as_py())
+                raw = t.as_py().encode()
+                h = shingle_hashes(raw)
+                key.append(hashlib.sha256(b" ".join(raw.lower().split())).digest())
                 n.append(h.size)
                 sigs.append(signature(h) if h.size else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "sig"])
 
-    with_key = docs.select("doc_id", "text", word_key("text").alias("key"))
-    return stored(with_key.mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary").withColumn("row", F.monotonically_increasing_id()), "signed")
+    return stored(docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary").withColumn("row", F.monotonically_increasing_id()), "signed")
 
 
 def word_key(text: str):
+    """The digest of sign as a column."""
     low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.unhex(F.sha2(F.trim(F.regexp_replace(low, SPACE, " ")).cast("binary"), 256))
 
@@ -231,7 +234,7 @@ def hashed_sets(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                own = [shingle_hashes(t.as_py()).view(np.int64) for t in part.column(2)]
+                own = [shingle_hashes(t.as_py().encode()).view(np.int64) for t in part.column(2)]
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *(x.size for x in own)]).astype(np.int32), pa.array(np.concatenate(own)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["node", "sig", "hashes"])
 
@@ -335,7 +338,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands, width = banding(percent)
     rows = id_text(docs, id_col, text_col)
     signed = sign(rows)
-    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("min_doc"), F.min_by("sig", "row").alias("sig"), F.min("n_shingles").alias("n"))
+    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("min_doc"), F.min_by("sig", "row").alias("sig"), F.min_by("doc_id", "row").alias("id"), F.min("n_shingles").alias("n"))
     nodes = stored(classes, "nodes")
 
     band = [F.xxhash64(F.lit(k), F.substring("sig", k * width * 4 + 1, width * 4)) for k in range(bands)]
@@ -343,9 +346,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1")
     members = stored(buckets.hint("merge").join(shared, "bucket"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    wanted = stored(wanted.select("node", "key", "sig"), "wanted")
-    keyed = may_hit(rows.withColumn("key", word_key("text")), "key", bit_filter(wanted, "key")).groupBy("key").agg(F.first("text").alias("text"))
-    texts = stored(keyed.join(wanted.select("key", "node"), "key").select("node", "text"), "texts")
+    wanted = stored(wanted.select("node", "key", "sig", "id"), "wanted")
+    mine = may_hit(rows, "doc_id", bit_filter(wanted, "id")).withColumn("key", word_key("text"))  # the rows of the nodes, by their ids
+    texts = stored(mine.join(wanted.select("key", "node"), "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     pairs = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     comps = stored(components(confirmed(pruned(pairs, wanted, percent), texts, percent)), "components")

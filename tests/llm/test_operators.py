@@ -289,7 +289,7 @@ def test_block_sends_a_forest():
     rng = random.Random(8)
     base = [f"c{k}" for k in range(150)]
     own = [near(base, rng, rng.choice((1, 2, 3, 4, 6))) for _ in range(120)]
-    hashes = [near_dedup.shingle_hashes(t) for t in own]
+    hashes = [near_dedup.shingle_hashes(t.encode()) for t in own]
     rows = pa.table({"node": range(120), "comp": [k // 2 * 2 for k in range(120)], "left": [True] * 120, "right": [True] * 120, "sig": [near_dedup.signature(h) for h in hashes], "hashes": pa.array([h.view(np.int64).tolist() for h in hashes])})
     a, b = near_dedup.forest(rows)
     assert 0 < len(a) < 60
