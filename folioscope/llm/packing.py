@@ -1,19 +1,22 @@
 """Operator 6, lexical retrieval packing: BM25 neighbours of a seed document greedily fill its window.
 
-Texts are encoded once and the ids stored. Document frequencies of all terms (token ids, so at most the vocabulary)
-are counted over the whole table. Documents are then ordered by a sketch of their weightiest terms, common ones before
+Texts are encoded once and the ids stored, with the document frequencies of all terms (token ids, so at most the
+vocabulary) that each task has met. Documents are ordered by a sketch of their weightiest terms, common ones before
 rare ones, and dealt by ranges of it, so that documents of like content meet wherever they are stored; places in the
-table part those of one sketch. Each task cuts its range into shards of bounded size and builds an inverted index of
-each; a window's seed (the rest of a cut document, else the first unused one) queries it with all its terms, and unused neighbours are laid in by score. The neighbour that no longer fits is cut, and its rest seeds the next
-window, so windows are full; what a shard has left at the end goes into sequences whose lengths are powers of two.
+table part those of one sketch. The bounds of the ranges come from a sample of sketches and bear on balance only.
+Each task cuts what it has into shards of bounded size and builds an inverted index of each; a window's seed (the rest
+of a cut document, else the first unused one) queries it with all its terms, and unused neighbours are laid in by
+score. The neighbour that no longer fits is cut, and its rest seeds the next window, so windows are full; what a shard
+has left at the end goes into sequences whose lengths are powers of two.
 
 Defined cases: a null or empty text is its end id alone; a document longer than a window fills as many as it needs;
-equal scores go to the earlier row; rows that repeat a doc_id are packed each; a row larger than a shard is a shard
-of its own; an empty table gives an empty one; other columns are not read.
+equal scores go to the earlier row; rows that repeat a doc_id are packed each; a row larger than a shard ends the one
+it is in; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 from collections.abc import Iterator
@@ -34,89 +37,108 @@ SHARD_TOKENS, SHARD_DOCS = 2_000_000, 4096
 K1, B = 1.2, 0.75
 #: Levels of a sketch: terms that a fifth of all documents have at least, then an eighth of that, and so on.
 LEVELS, COARSEST, FINER = 6, 5, 8
-#: Ranges are dealt so that they fill a shard to this share, as their sizes come from a sample.
-FILLED = 0.8
+#: Ranges are dealt so that they fill a shard to this share, as their bounds come from a sample of so many sketches each.
+FILLED, SAMPLED = 0.8, 30
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1) -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 16-bit ids with the end id, stored."""
+    """(doc_id, ids, df), stored. ids: little-endian unsigned 16-bit with the end id. A task's last row has only df:
+    64-bit numbers of its documents with each term, then of its documents and of its ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = shared_encoder(tokenizer, kind), int(end_id).to_bytes(2, "little")
+        df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.encode(t.as_py()) + tail for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                ids = [enc.encode(t.as_py()) + tail for t in part.column(1)]
+                for x in ids:
+                    df[term_counts(np.frombuffer(x, "<u2"))[0]] += 1
+                n, tokens = n + len(ids), tokens + sum(map(len, ids)) // 2
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([np.append(df, (n, tokens)).tobytes()])], ["doc_id", "ids", "df"])
 
-    return stored(id_text(docs).mapInArrow(encode, "doc_id long, ids binary"), "ids")
+    return stored(id_text(docs).mapInArrow(encode, "doc_id long, ids binary, df binary"), "ids")
 
 
-def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """term, document, frequency; by term, then document."""
-    if not docs:
-        return (np.zeros(0, np.int64),) * 3
-    owner = np.repeat(np.arange(len(docs), dtype=np.int64), [d.size for d in docs])
-    key, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
-    return key // len(docs), key % len(docs), tf
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms in ascending order, and how often each occurs."""
+    own = np.sort(ids)
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, own.size), bool), own[1:] != own[:-1])))
+    return own[at], np.diff(at, append=own.size)
 
 
-def document_frequencies(ids: DataFrame) -> tuple[int, int, np.ndarray]:
+def document_frequencies(encoded: DataFrame) -> tuple[int, int, np.ndarray]:
     """Number of documents, of ids, and of documents with each term; at most one row for each term reaches the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VOCABULARY + 2, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = [np.frombuffer(x.as_buffer(), "<u2") for x in b.column(0)[at : at + 256]]
-                df += np.bincount(postings(some)[0], minlength=VOCABULARY)
-                n += len(some)
-                tokens += sum(x.size for x in some)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": np.append(at, (-1, -2)), "n": np.append(df[at], (n, tokens))})
-
-    df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
-    for r in ids.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r.term == -1:
-            n = r.n
-        elif r.term == -2:
-            tokens = r.n
-        else:
-            df[r.term] = r.n
-    return n, tokens, df
-
-
-def sketches(docs: list[np.ndarray], n: int, df: np.ndarray, idf: np.ndarray, mean: float) -> list[bytes]:
-    """For each document its weightiest term of each level of frequency, from common to rare, as bytes in that order."""
-    term, doc, tf = postings(docs)
-    size = np.array([d.size for d in docs])
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
-    order = np.lexsort((term, -weight, doc))
-    term, doc = term[order], doc[order]
-    out = np.full((len(docs), LEVELS), VOCABULARY - 1, ">u2")
-    for k in range(LEVELS):
-        some = np.flatnonzero(df[term] >= max(2, n / (COARSEST * FINER**k)))
-        owner, first = np.unique(doc[some], return_index=True)
-        out[owner, k] = term[some[first]]
-    return [x.tobytes() for x in out]
+            for x in b.column(0):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": at, "n": total[at]})
+
+    total = np.zeros(VOCABULARY + 2, np.int64)
+    for r in encoded.where("df is not null").select("df").mapInArrow(add, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        total[r.term] = r.n
+    return int(total[-2]), int(total[-1]), total[:-2]
+
+
+def weights(term: np.ndarray, tf: np.ndarray, size: int, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of a document's terms."""
+    return idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)))
+
+
+class Sketcher:
+    """Sketch of a document: its weightiest term of each level of frequency, from common to rare, as bytes in that order."""
+
+    def __init__(self, n: int, df: np.ndarray, idf: np.ndarray, mean: float):
+        least = [max(2, n / (COARSEST * FINER**k)) for k in range(LEVELS)]
+        #: The first level that has a term; levels behind it have it as well.
+        self.level = np.array([(df < x) for x in least]).sum(axis=0)
+        self.idf, self.mean = idf, mean
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        term, tf = term_counts(ids)
+        w, level = weights(term, tf, ids.size, self.idf, self.mean), self.level[term]
+        out = np.full(LEVELS, VOCABULARY - 1, ">u2")
+        for k in range(int(level.min(initial=LEVELS)), LEVELS):
+            out[k] = term[np.where(level <= k, w, -1.0).argmax()]  # the least term of equals
+        return out.tobytes()
 
 
 def placed(ids: DataFrame, n: int, tokens: int, df: np.ndarray) -> DataFrame:
     """(doc_id, ids) in the order of sketches, in ranges of about a shard."""
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    shared = ids.sparkSession.sparkContext.broadcast((df, idf))
     mean = max(1.0, tokens / max(1, n))
+    spark = ids.sparkSession
+    shared = spark.sparkContext.broadcast((df, idf))  # one number for each term
+    ranges = max(1, math.ceil(tokens / (FILLED * SHARD_TOKENS)), math.ceil(n / (FILLED * SHARD_DOCS)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, idf = shared.value
+        of = Sketcher(n, *shared.value, mean)
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                got = sketches([np.frombuffer(x.as_buffer(), "<u2") for x in some.column(1)], n, df, idf, mean)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(got, pa.binary())], ["doc_id", "ids", "row", "sketch"])
+                part = b.slice(at, 256)
+                got = [of(np.frombuffer(x.as_buffer(), "<u2")) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], ["doc_id", "ids", "row", "sketch"])
 
-    ranges = max(1, math.ceil(tokens / (FILLED * SHARD_TOKENS)), math.ceil(n / (FILLED * SHARD_DOCS)))
     rows = ids.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
-    rows = rows.mapInArrow(sketch, "doc_id long, ids binary, row long, sketch binary")
-    return rows.repartitionByRange(ranges, "sketch", "row").sortWithinPartitions("sketch", "row").select("doc_id", "ids")
+    made = "doc_id long, ids binary, row long, sketch binary"
+    sample = rows.sample(min(1.0, SAMPLED * ranges / max(1, n)), seed=6) if ranges > 1 else rows.limit(0)
+    # a sketch for each SAMPLED-th of a range: 20 bytes for about a million ids
+    keys = sorted((bytes(r.sketch), r.row) for r in sample.mapInArrow(sketch, made).select("sketch", "row").collect())
+    bounds = [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
+    given = spark.sparkContext.broadcast(bounds)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sketch(batches):
+            cell = [bisect.bisect_right(given.value, x) for x in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], [*b.schema.names, "cell"])
+
+    return rows.mapInArrow(deal, f"{made}, cell int").repartition(ranges, "cell").sortWithinPartitions("cell", "sketch", "row").select("doc_id", "ids")
 
 
 class Shard:
@@ -124,25 +146,32 @@ class Shard:
 
     def __init__(self, doc_ids: list, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.doc_ids, self.docs = doc_ids, docs
-        term, doc, tf = postings(docs)
-        size = np.array([d.size for d in docs])
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
-        self.doc, self.weight = doc, weight
-        self.at = np.searchsorted(term, np.arange(VOCABULARY + 1))
-        order = np.argsort(doc, kind="stable")
-        starts = np.searchsorted(doc[order], np.arange(len(docs) + 1))
-        self.query = [term[order[s:e]] for s, e in zip(starts[:-1], starts[1:], strict=True)]
-        self.unused = np.ones(len(docs), bool)
+        counted = [term_counts(d) for d in docs]
+        self.query = [t for t, _ in counted]
+        term = np.concatenate(self.query)
+        order = np.argsort(term, kind="stable")
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), [t.size for t in self.query])[order]
+        self.weight = np.concatenate([weights(t, tf, d.size, idf, mean) for (t, tf), d in zip(counted, docs, strict=True)])[order]
+        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(term, minlength=VOCABULARY))))
+        self.unused, self.left, self.held = np.ones(len(docs), bool), len(docs), len(docs)
+
+    def shrink(self) -> None:
+        """Leave used documents out of the index."""
+        stay = self.unused[self.doc]
+        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(stay)))[self.at]
+        self.doc, self.weight, self.held = self.doc[stay], self.weight[stay], self.left
 
     def neighbours(self, seed: int) -> list[int]:
-        """Unused documents by BM25 score for all of the seed's terms."""
-        spans = [(self.at[t], self.at[t + 1]) for t in self.query[seed]]
+        """Unused documents by BM25 score for all of the seed's terms, the best 64 and those that equal the last of them."""
+        if self.left < 0.7 * self.held:
+            self.shrink()
+        start, end = self.at[self.query[seed]], self.at[self.query[seed] + np.int64(1)]
+        spans = [slice(s, e) for s, e in zip(start.tolist(), end.tolist(), strict=True) if e > s]
         if not spans:
             return []
-        doc = np.concatenate([self.doc[s:e] for s, e in spans])
-        score = np.bincount(doc, np.concatenate([self.weight[s:e] for s, e in spans]), len(self.docs)) * self.unused
-        top = np.argpartition(-score, min(64, score.size - 1))[:64]
-        top = top[score[top] > 0]
+        score = np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), len(self.docs)) * self.unused
+        least = np.partition(score, -64)[-64] if score.size > 64 else 0.0
+        top = np.flatnonzero((score >= least) & (score > 0))
         return top[np.lexsort((top, -score[top]))].tolist()
 
     def order(self) -> Iterator[int]:
@@ -161,6 +190,7 @@ class Shard:
                     return
                 d = first
             self.unused[d] = False
+            self.left -= 1
             if not filled:
                 seed, near = d, []
             whole = filled + self.docs[d].size
@@ -188,8 +218,9 @@ class Shard:
 
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1) -> DataFrame:
     """One row for each piece. Sequence ids are unique: the task's number, then a count."""
-    ids = encode_documents(docs, tokenizer, kind, end_id)
-    n, tokens, df = document_frequencies(ids)
+    encoded = encode_documents(docs, tokenizer, kind, end_id)
+    n, tokens, df = document_frequencies(encoded)
+    ids = encoded.where("ids is not null").select("doc_id", "ids")
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))  # one number for each term
 

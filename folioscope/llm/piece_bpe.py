@@ -44,7 +44,7 @@ class PieceModel:
         for p in self.ids:
             self.auto.add_word(p, len(p))
         self.auto.make_automaton()
-        self.runs, self.pairs, self.prefixes = Kept(keep), Kept(keep // 2), Kept(keep // 8)
+        self.runs, self.pairs, self.prefixes = Kept(keep, self.run_ids), Kept(keep // 2, self.compatible), Kept(keep // 8, self.shorter)
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by merging: best score first, leftmost of equals."""
@@ -82,12 +82,12 @@ class PieceModel:
         at, piece = 0, s[: longest[0]]
         while at < len(s):
             end, last = at + len(piece), out[-1] if out else ""
-            if open_[end >> 3] >> (end & 7) & 1 and self.pairs.get((last, piece), self.compatible):
+            if open_[end >> 3] >> (end & 7) & 1 and self.pairs[last, piece]:
                 out.append(piece)
                 at = end
                 piece = s[at : at + longest[at]] if at < len(s) else ""
                 continue
-            piece = self.prefixes.get(piece, self.shorter)
+            piece = self.prefixes[piece]
             if not piece:
                 open_[at >> 3] &= ~(1 << (at & 7)) & 255
                 piece = out.pop()  # every text has an encoding, so there is one to take back
@@ -108,16 +108,11 @@ class PieceModel:
 
     def encode(self, text: str) -> bytes:
         """Ids between begin and end id, as little-endian unsigned 16-bit integers."""
-        ids = []
+        ids = b""
         if text:
             s = text.replace(MARK, " ")
-            runs = RUNS.findall(" " + s) if "  " in s or s.startswith(" ") else s.split(" ")
-            ids = [*map(self.runs.young.get, runs)]
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None:
-                        ids[i] = self.runs.get(runs[i], self.run_ids)
-        return array("H", [self.bos]).tobytes() + b"".join(ids) + array("H", [self.eos]).tobytes()
+            ids = b"".join(map(self.runs.__getitem__, RUNS.findall(" " + s) if "  " in s or s.startswith(" ") else s.split(" ")))
+        return array("H", [self.bos]).tobytes() + ids + array("H", [self.eos]).tobytes()
 
 
 _models: dict[str, PieceModel] = {}

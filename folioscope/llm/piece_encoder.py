@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 #: The white space of the tokenizers' patterns (Unicode's property; Python's \\s has four controls more).
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 ODD_SPACE = re.compile(f"[{WS}][{WS}]|[{WS}]$")
+LATIN_1 = re.compile(r"[\x00-\xff]*")
 CONTROLS = re.compile(r"[\x1c-\x1f]")
 NOT_SPACE = re.compile(f"[^{WS}]+")
-LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſªµº]+| ?[0-9²³¹¼-¾]+| ?[^ A-Za-zÀ-ÖØ-öø-ſªµº0-9²³¹¼-¾]+")
-PLAIN_CUT = re.compile(r"[\x21-\x7e\xa1-ſ]+")
-LOWER_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-ASCII_CUT = re.compile(r"[\x21-\x7e]+")
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſªµº]+| ?[0-9²³¹¼-¾]+| ?[^ \nA-Za-zÀ-ÖØ-öø-ſªµº0-9²³¹¼-¾]+|\n")
+#: Latin letters and what stands with them, single line breaks among them, without the capital whose small letter is two characters.
+PLAIN_CUT = re.compile(r"[\n\x21-\x7e\xa1-įı-ſ]+")
+LETTERS = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+")
+LOWER_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſªµº]+|[0-9²³¹¼-¾]|[^a-zß-öø-ſªµº0-9²³¹¼-¾]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,30 +36,33 @@ def byte_letters() -> dict[int, str]:
 LONGEST_KEPT = 64
 
 
-class Kept:
-    """A bounded cache in two generations: when the young one is full it becomes the old one."""
+class Kept(dict):
+    """A bounded cache of what ``make`` gives for a key, in two generations: when the young one is full it becomes the old one."""
 
-    def __init__(self, keep: int):
-        self.keep, self.young, self.old = keep // 2, {}, {}
+    def __init__(self, keep: int, make: Callable):
+        super().__init__()
+        self.keep, self.make, self.old = max(1, keep // 2), make, {}
 
-    def get(self, key, make):
-        if len(key) > LONGEST_KEPT:
-            return make(key)
-        got = self.young.get(key)
+    def __missing__(self, key):
+        got = self.old.get(key)
         if got is None:
-            got = self.old.get(key)
-            if got is None:
-                got = make(key)
-            if len(self.young) >= self.keep:
-                self.old, self.young = self.young, {}
-            self.young[key] = got
+            got = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.keep:
+                self.old = self.copy()
+                self.clear()
+            self[key] = got
         return got
 
+    def near(self, key):
+        """What is kept for a key, else what make gives, which isn't kept."""
+        return self.get(key) or self.old.get(key) or self.make(key)
+
 
 class Encoder:
     """path: a tokenizers file; kind: "byte" (byte-level pieces with their leading space) or "word" (white space dropped)."""
 
-    def __init__(self, path: str, kind: str, keep: int = 700_000):
+    def __init__(self, path: str, kind: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.kind = kind
@@ -68,28 +74,33 @@ class Encoder:
         self.marks = {re.match(r"\W*", t).group() for t in added}
         self.model = self.library.model
         self.letters = byte_letters()
-        self.cuts, self.pieces = Kept(keep), Kept(keep // 4)
+        self.cuts, self.pieces = Kept(keep, self.cut), Kept(keep // 8, self.by_model)
 
     def by_library(self, text: str) -> bytes:
         return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, s: str) -> bytes:
+    def by_model(self, s: str) -> bytes:
         """Ids of a string that the pattern cuts no further, as unsigned 16-bit integers."""
-        return self.pieces.get(s, self.by_model)
+        return array("H", [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def by_model(self, s: str) -> bytes:
-        return array("H", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, s.encode())))]).tobytes()
+    def word(self, s: str) -> bytes:
+        """Ids of letters alone, which are one piece, without a second entry among the pieces."""
+        if s.isascii():
+            return array("H", [t.id for t in self.model.tokenize(s if self.kind == "word" else "\u0120" + s)]).tobytes()
+        return self.by_model(s if self.kind == "word" else " " + s)
 
     def cut(self, s: str) -> bytes:
         """Ids of one cut. Byte-level cuts stand for themselves behind a space; a first cut comes through head()."""
-        if self.kind == "word":
-            return b"".join(map(self.piece, LOWER_PIECES.findall(s.lower()))) if ASCII_CUT.fullmatch(s) else self.by_library(s)
-        if s.isalpha() and s.isascii():
-            return array("H", [t.id for t in self.model.tokenize("\u0120" + s)]).tobytes()
-        return b"".join(map(self.piece, LATIN_PIECES.findall(" " + s))) if PLAIN_CUT.fullmatch(s) else self.by_library(" " + s)
+        if s.isalpha() and (s.isascii() or LETTERS.fullmatch(s)):
+            return self.word(s.lower() if self.kind == "word" else s)
+        if not PLAIN_CUT.fullmatch(s):
+            return self.by_library(s if self.kind == "word" else " " + s)
+        if s[:-1].isalpha() and s[-1] in ",.;:!?":  # a word's mark is a piece of its own
+            return self.cuts.near(s[:-1]) + self.pieces[s[-1]]
+        return b"".join(map(self.pieces.__getitem__, LOWER_PIECES.findall(s.lower()) if self.kind == "word" else LATIN_PIECES.findall(" " + s)))
 
     def head(self, s: str) -> bytes:
-        return b"".join(map(self.piece, LATIN_PIECES.findall(s))) if not s or PLAIN_CUT.fullmatch(s) else self.by_library(s)
+        return b"".join(map(self.pieces.__getitem__, LATIN_PIECES.findall(s))) if not s or PLAIN_CUT.fullmatch(s) else self.by_library(s)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 16-bit integers."""
@@ -97,18 +108,15 @@ class Encoder:
         if any(m in text for m in self.marks) and self.added.search(text):
             return self.by_library(text)
         if self.kind == "word":
+            if text.isascii() or LATIN_1.fullmatch(text):
+                text = text.lower()  # one for one there, so capitals need no entries of their own
             cuts = text.split() if not CONTROLS.search(text) else NOT_SPACE.findall(text)
         else:
             if ODD_SPACE.search(text):
                 return self.by_library(text)
             cuts = text.split(" ")
             first = self.head(cuts.pop(0))
-        ids = [*map(self.cuts.young.get, cuts)]
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    ids[i] = self.cuts.get(cuts[i], self.cut)
-        return first + b"".join(ids)
+        return first + b"".join(map(self.cuts.__getitem__, cuts))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
