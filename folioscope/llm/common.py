@@ -38,14 +38,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """Apply ``make()`` (called once for each task) to column lists of each Arrow batch."""
+    """Apply ``make()`` (called once for each task) to column lists of each Arrow batch, 1024 rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, out = make(), None
+        f, out = make(), arrow_schema
         for b in batches:
-            got = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-            out = out or arrow_schema
-            yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                got = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
 
     arrow_schema = spark_to_arrow(df.sparkSession, schema)
     return df.mapInArrow(run, schema)
@@ -58,7 +59,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            yield b.filter(pa.array([f(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([f(t.as_py()) for t in b.column(at)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -52,12 +52,16 @@ def bit_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     return keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bitmap"))
 
 
+def bit_of(bitmap: str, position: str) -> Column:
+    """The bit of a bitmap column at a position column."""
+    return F.expr(f"shiftright(cast(conv(hex(substring({bitmap}, cast({position} div 8 + 1 as int), 1)), 16, 10) as int), cast({position} % 8 as int)) & 1")
+
+
 def may_hit(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows whose key may be among those of the filter; the filter's size is fixed, so it can be broadcast."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))
     probed = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_bit", F.bitmap_bit_position(at))
-    bit = F.expr("shiftright(cast(conv(hex(substring(_bitmap, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1")
-    return probed.join(F.broadcast(filter_rows), "_bucket").where(bit == 1).drop("_bucket", "_bit", "_bitmap")
+    return probed.join(F.broadcast(filter_rows), "_bucket").where(bit_of("_bitmap", "_bit") == 1).drop("_bucket", "_bit", "_bitmap")
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -65,7 +69,7 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     own = docs.columns
     at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
     probed = docs.join(F.broadcast(bit_filter(dropped, "doc_id")), F.bitmap_bucket_number(at) == F.col("_bucket"), "left").withColumn("_bit", F.bitmap_bit_position(at))
-    probed = probed.withColumn("_hit", F.col("_bitmap").isNotNull() & (F.expr("shiftright(cast(conv(hex(substring(_bitmap, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1") == 1))
+    probed = probed.withColumn("_hit", F.col("_bitmap").isNotNull() & (bit_of("_bitmap", "_bit") == 1))
     clear = probed.where(~F.col("_hit")).select(own)
     ids = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
     met = probed.where(F.col("_hit")).select(own)

@@ -1,8 +1,8 @@
 """Operator 8, toxicity: a weighted lexicon matched by Aho-Corasick after folding disguises.
 
 Folding lower-cases, maps homoglyphs, full-width forms, digits and signs to Latin letters, drops zero-width characters
-and turns everything else that isn't a letter into a space. The lexicon holds whole words and beginnings of words (4 to 8
-letters) whose weight is the log odds of occurring in toxic against clean training rows; a longer entry stays beside
+and turns everything else that isn't a letter into a space. The lexicon holds whole words (of two letters at least) and
+beginnings of words (4 to 8 letters) that occur in at least a 500th of the toxic training rows and whose weight is the log odds of occurring in toxic against clean training rows; a longer entry stays beside
 its beginning only if it says more, and at each word the longest entry counts. Accented letters are told apart, but
 strong plain entries also match words that only accents disguise. Exception phrases (an entry with its neighbouring word) cancel a match: a fixed list and those
 learned from clean training rows. The score is a logistic function of the weight found and of the weight for each
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, fold, id_text, keep_rows, stored
-from .exact_dedup import bit_filter, may_hit
+from .exact_dedup import bit_filter, bit_of, may_hit
 
 #: Look-alike letters of other scripts, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -37,10 +37,14 @@ ZERO_WIDTH = "­​‌‍⁠﻿"
 #: Fixed phrases in which an entry isn't meant as an insult.
 EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "trash bag", "stupid mistake", "pathetic fallacy", "sore loser")
 
-STEMS = range(4, 9)
-LEXICON_SIZE = 4096
+STEMS, SHORTEST = range(4, 9), 2
 #: What an entry must show: toxic training rows, weight, and log-likelihood gained over chance (many are tried).
 LEAST_ROWS, LEAST_WEIGHT, LEAST_GAIN = 4, 1.2, 14.0
+#: An entry is in one of so many toxic rows at least, an exception phrase in one of so many clean ones and in three.
+#: So there are at most 500 times as many candidates as a toxic row has entries, and these may reach the driver.
+SUPPORT, PHRASE_SUPPORT = 500, 20_000
+#: Labels go to the scan as exact bitmaps while these have so many bytes at most; else texts and labels are shuffled.
+LABEL_BYTES = 32 << 20
 #: A longer entry stays beside its beginning if its weight is so much more; entries of this weight see through accents.
 MORE, STRONG = 0.7, 5.0
 #: The logistic function is fitted on at most so many labelled rows.
@@ -84,7 +88,7 @@ def folded(text: str) -> str:
 
 def entries(text: str, wanted: frozenset[str] | None = None) -> set[str]:
     words = set(folded(text).split())
-    got = {w[:k] for w in words for k in STEMS if len(w) >= k} | {w + " " for w in words if len(w) >= STEMS[0]}
+    got = {w[:k] for w in words for k in STEMS if len(w) >= k} | {w + " " for w in words if len(w) >= SHORTEST}
     return got if wanted is None else got & wanted
 
 
@@ -178,26 +182,31 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
     return tuple(float(b) for b in beta)
 
 
-def train_lexicon(labelled: DataFrame, size: int = LEXICON_SIZE, fit_rows: int = FIT_ROWS) -> Lexicon:
-    """Learn from (text, toxic). Counts cover all rows; the lexicon and the fitting sample are bounded."""
-    toxic, clean = labelled.where("toxic = 1"), labelled.where("toxic = 0")
-    n_toxic, n_clean = toxic.count(), clean.count()
-    if not n_toxic:
-        return Lexicon({})
-    spark = labelled.sparkSession
-    often = [(r.key, r.n) for r in tally(toxic, entries).where(F.col("n") >= min(LEAST_ROWS, max(2, n_toxic // 50))).orderBy(F.desc("n"), "key").limit(64 * size).collect()]
-    wanted = spark.sparkContext.broadcast(frozenset(k for k, _ in often))
-    in_clean = {r.key: r.n for r in tally(clean, lambda t: entries(t, wanted.value)).collect()}
-    weight = {k: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean.get(k, 0) + 0.5) / (n_clean + 1)) for k, n in often}
+def weighed(often: dict[str, int], in_clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the entries that show enough, by their counts in toxic and in clean rows."""
+    weight = {k: math.log((n + 0.5) / (n_toxic + 1)) - math.log((in_clean.get(k, 0) + 0.5) / (n_clean + 1)) for k, n in often.items()}
     chance = {k: n_toxic * (in_clean.get(k, 0) + 0.5) / (n_clean + 1) for k in weight}
-    gain = {k: n * math.log(n / chance[k]) - n + chance[k] for k, n in often}
+    gain = {k: n * math.log(n / chance[k]) - n + chance[k] for k, n in often.items()}
     good: dict[str, float] = {}
     for k in sorted((k for k in weight if weight[k] >= LEAST_WEIGHT and gain[k] >= LEAST_GAIN), key=lambda k: (len(k), k)):
         inner = max((good[k[:j]] for j in STEMS if j < len(k) and k[:j] in good), default=0.0)
         if weight[k] >= inner + MORE:
             good[k] = weight[k]
-    top = dict(sorted(good.items(), key=lambda x: (-x[1], x[0]))[:size])
-    lexicon = Lexicon(top, set(EXCEPTIONS))
+    return good
+
+
+def train_lexicon(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
+    """Learn from (text, toxic). Counts cover all rows; only entries with enough support reach the driver."""
+    toxic, clean = labelled.where("toxic = 1"), labelled.where("toxic = 0")
+    n_toxic, n_clean = toxic.count(), clean.count()
+    if not n_toxic:
+        return Lexicon({})
+    spark = labelled.sparkSession
+    least = max(min(LEAST_ROWS, max(2, n_toxic // 50)), -(-n_toxic // SUPPORT))
+    often = {r.key: r.n for r in tally(toxic, entries).where(F.col("n") >= least).collect()}
+    wanted = spark.sparkContext.broadcast(frozenset(often))
+    in_clean = {r.key: r.n for r in tally(clean, lambda t: entries(t, wanted.value)).collect()}
+    lexicon = Lexicon(weighed(often, in_clean, n_toxic, n_clean))
     shared = spark.sparkContext.broadcast(lexicon.weights)
 
     def near(text, cache={}):  # noqa: B006  one lexicon for each worker
@@ -205,10 +214,11 @@ def train_lexicon(labelled: DataFrame, size: int = LEXICON_SIZE, fit_rows: int =
         found, s = lex.matches(text)
         return {p for at, *_ in found for p in phrases(s, at)}
 
-    odd = {r.key: r.n for r in tally(clean, near).where("n >= 3").orderBy(F.desc("n"), "key").limit(size).collect()}
+    odd = {r.key: r.n for r in tally(clean, near).where(F.col("n") >= max(3, -(-n_clean // PHRASE_SUPPORT))).collect()}
     if odd:
-        bad = {r.key: r.n for r in tally(toxic, near).where(F.col("key").isin(list(odd))).collect()}
-        lexicon = Lexicon(top, set(EXCEPTIONS) | {k for k, n in odd.items() if n / n_clean > 4 * bad.get(k, 0) / n_toxic})
+        kept = spark.sparkContext.broadcast(frozenset(odd))
+        bad = {r.key: r.n for r in tally(toxic, lambda t: near(t) & kept.value).collect()}
+        lexicon = Lexicon(lexicon.weights, set(EXCEPTIONS) | {k for k, n in odd.items() if n / n_clean > 4 * bad.get(k, 0) / n_toxic})
     chosen = spark.sparkContext.broadcast((lexicon.weights, lexicon.exceptions))
 
     def make():
@@ -254,10 +264,19 @@ def keep_civil(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> Dat
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows whose crc32(doc_id) mod 3 is not 1. Only the narrow label rows are shuffled whole."""
-    own = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    mine = may_hit(id_text(docs).where(fold("doc_id", 3) != 1), "doc_id", bit_filter(own, "doc_id"))
-    return mine.join(own, "doc_id").select("text", "toxic")
+    """(text, toxic) of the labelled rows whose crc32(doc_id) mod 3 is not 1.
+
+    The labels are two exact bitmaps of ids; where these are small, no text is shuffled.
+    """
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = id_text(docs).where(fold("doc_id", 3) != 1)
+    at = F.bitmap_bit_position("doc_id")
+    bits = own.groupBy(F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(at).alias("any"), F.bitmap_construct_agg(F.when(F.col("toxic") == 1, at)).alias("bad"))
+    bits = stored(bits, "label_bits")
+    if 2 * 4096 * bits.count() > LABEL_BYTES:
+        return may_hit(rows, "doc_id", bit_filter(own, "doc_id")).join(own, "doc_id").select("text", "toxic")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number("doc_id")).withColumn("bit", at).join(F.broadcast(bits), "bucket")
+    return met.where(bit_of("any", "bit") == 1).select("text", bit_of("bad", "bit").cast("int").alias("toxic"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -336,6 +336,30 @@ def test_toxicity(spark, empty, docs):
     assert toxicity.toxicity(empty, none).count() == 0
 
 
+def test_lexicon_by_brute_force(spark, monkeypatch):
+    """Weights, exceptions and training rows against plain counting; labels that repeat, are null, or have no document."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    more = spark.createDataFrame([(None, 1, 1), (10**12, 1, 1), (-5, 1, 0), (0, 1, None)], "doc_id long, quality int, toxic int")
+    labels = labels.select("doc_id", "quality", "toxic").union(more).union(labels.limit(20).selectExpr("doc_id", "quality", "1 AS toxic"))
+    mark = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            mark[r.doc_id] = max(mark.get(r.doc_id, 0), r.toxic)
+    own = [(r.text or "", mark[r.doc_id]) for r in d.collect() if r.doc_id in mark]
+    assert sorted(map(tuple, toxicity.training_rows(d, labels).collect())) == sorted(own)
+    monkeypatch.setattr(toxicity, "LABEL_BYTES", 0)
+    assert sorted(map(tuple, toxicity.training_rows(d, labels).collect())) == sorted(own)
+    n = [sum(y == k for _, y in own) for k in (0, 1)]
+    count = [Counter(e for t, y in own if y == k for e in toxicity.entries(t)) for k in (0, 1)]
+    least = max(min(4, max(2, n[1] // 50)), -(-n[1] // 500))
+    want = toxicity.weighed({k: c for k, c in count[1].items() if c >= least}, count[0], n[1], n[0])
+    got = toxicity.train_lexicon(toxicity.training_rows(d, labels))
+    assert want and got.weights == want and any(len(k) < 4 for k in toxicity.entries("an ox"))
+    plain = toxicity.Lexicon(want)
+    odd = [Counter(p for t, y in own if y == k for f, s in [plain.matches(t)] for p in {p for at, *_ in f for p in toxicity.phrases(s, at)}) for k in (0, 1)]
+    assert got.exceptions == set(toxicity.EXCEPTIONS) | {k for k, c in odd[0].items() if c >= 3 and c / n[0] > 4 * odd[1][k] / n[1]}
+
+
 def test_toxic_folding_and_exceptions():
     lex = toxicity.Lexicon({"idiot": 8.0, "clown": 6.0}, coef=(-3.0, 2.0, 0.5))
     for t in ("you idiot", "you 1d10t!", "YOU ІDІОТ", "ｉｄｉｏｔ", "an ìdíöt.", "i​diot", "idiot!!"):
