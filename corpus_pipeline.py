@@ -28,24 +28,24 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a stored number _row of each row, in the order of doc_id; null ids come last.
-
-    Rows of equal ids are ordered by their text and place, so no key is too frequent for a range.
-    """
-    ordered = docs.withColumn("_at", F.monotonically_increasing_id()).sort(F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text"), "_at")
-    return stored(ordered.drop("_at").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """docs with a number _row of each row: its place in the stored table, so every scan numbers alike."""
+    return (docs if docs.inputFiles() else stored(docs, "docs")).withColumn("_row", F.monotonically_increasing_id())
 
 
 def staying(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The numbered rows that an operator, told to take the number as id, keeps; without the number."""
-    dropped = stored(groups.where(~F.col("kept")).select("doc_id"), "dropped")
+    """Of each group (doc_id, a row number; member_of) the row with the smallest doc_id, null ids last; without the numbers."""
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("id"))
+    several = groups.groupBy("member_of").agg(F.count("*").alias("n")).where("n > 1").select("member_of")
+    members = stored(groups.select(F.col("doc_id").alias("_row"), "member_of").hint("merge").join(several, "member_of").join(ids, "_row"), "members")
+    first = members.groupBy("member_of").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    dropped = stored(members.select("_row").join(first, "_row", "left_anti").select(F.col("_row").alias("doc_id")), "dropped")
     return exact_dedup.without(rows, dropped, "_row").drop("_row")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows of equal text one with the smallest doc_id stays."""
     rows = numbered(docs)
-    return staying(rows, exact_dedup.exact_groups(rows, id_col="_row"))
+    return staying(rows, exact_dedup.exact_groups(rows, id_col="_row").withColumnRenamed("keep_id", "member_of"))
 
 
 #: Similarity of word shingles, in percent, from which the near stage links rows; op7's contract has its own.
@@ -55,7 +55,7 @@ NEAR_PERCENT = 80
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row with the smallest doc_id stays."""
     rows = numbered(docs)
-    return staying(rows, near_dedup.near_groups(rows, id_col="_row", percent=NEAR_PERCENT))
+    return staying(rows, near_dedup.near_groups(rows, id_col="_row", percent=NEAR_PERCENT).withColumnRenamed("component_id", "member_of"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

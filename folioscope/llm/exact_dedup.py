@@ -65,15 +65,20 @@ def may_hit(rows: DataFrame, key: str, filter_rows: DataFrame, bits: int = FILTE
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the ids of dropped (doc_id). Rows that the filter of dropped ids clears aren't shuffled; null ids stay."""
-    own = docs.columns
+    """docs without the ids of dropped (doc_id). Rows that the filter of dropped ids clears aren't shuffled; null ids stay.
+
+    The filter's columns have names that docs doesn't have.
+    """
+    own, tag = docs.columns, "_" * (1 + max(map(len, docs.columns)))
     at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
-    probed = docs.join(F.broadcast(bit_filter(dropped, "doc_id")), F.bitmap_bucket_number(at) == F.col("_bucket"), "left").withColumn("_bit", F.bitmap_bit_position(at))
-    probed = probed.withColumn("_hit", F.col("_bitmap").isNotNull() & (bit_of("_bitmap", "_bit") == 1))
-    clear = probed.where(~F.col("_hit")).select(own)
-    ids = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
-    met = probed.where(F.col("_hit")).select(own)
-    return clear.union(met.join(ids, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti").select(own))
+    bits = bit_filter(dropped, "doc_id").toDF(f"{tag}b", f"{tag}m")
+    probed = docs.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col(f"{tag}b"), "left").withColumn(f"{tag}p", F.bitmap_bit_position(at))
+    hit = F.col(f"{tag}m").isNotNull() & (bit_of(f"{tag}m", f"{tag}p") == 1)
+    probed = probed.withColumn(f"{tag}h", hit)
+    clear = probed.where(~F.col(f"{tag}h")).select(own)
+    ids = dropped.select(F.col("doc_id").alias(f"{tag}d")).distinct()
+    met = probed.where(F.col(f"{tag}h")).select(own)
+    return clear.union(met.join(ids, F.col(id_col).cast("long") == F.col(f"{tag}d"), "left_anti").select(own))
 
 
 def exact_groups(docs: DataFrame, digest_bits: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from .piece_encoder import shared_encoder
 WINDOW = 2048
 VOCABULARY = 1 << 16
 #: A shard ends at so many tokens or documents.
-SHARD_TOKENS, SHARD_DOCS = 2_000_000, 4096
+SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4096
 K1, B = 1.2, 0.75
 #: Levels of a sketch: terms that a fifth of all documents have at least, then an eighth of that, and so on.
 LEVELS, COARSEST, FINER = 6, 5, 8
@@ -64,7 +64,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms in ascending order, and how often each occurs."""
-    own = np.sort(ids)
+    own = np.sort(ids, kind="stable")  # by radix
     at = np.flatnonzero(np.concatenate((np.ones(min(1, own.size), bool), own[1:] != own[:-1])))
     return own[at], np.diff(at, append=own.size)
 
@@ -150,8 +150,8 @@ class Shard:
         self.query = [t for t, _ in counted]
         term = np.concatenate(self.query)
         order = np.argsort(term, kind="stable")
-        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), [t.size for t in self.query])[order]
-        self.weight = np.concatenate([weights(t, tf, d.size, idf, mean) for (t, tf), d in zip(counted, docs, strict=True)])[order]
+        self.doc = np.repeat(np.arange(len(docs)), [t.size for t in self.query])[order]
+        self.weight = np.concatenate([weights(t, tf, d.size, idf, mean) for (t, tf), d in zip(counted, docs, strict=True)])[order].astype(np.float64)
         self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(term, minlength=VOCABULARY))))
         self.unused, self.left, self.held = np.ones(len(docs), bool), len(docs), len(docs)
 

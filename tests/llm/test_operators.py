@@ -474,6 +474,32 @@ def test_pipeline_drops_rows(spark):
         assert sorted((str(r.doc_id), r.text[0]) for r in got.collect()) == want
 
 
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    """Empty tables and columns whose names operators use inside: rows stay whole, columns stay as they are."""
+    schema = "doc_id long, text string, lang string, _bucket string, _bitmap int, _bit int, _hit string, _dropped long, bucket int, id long, member_of int"
+    rows = [(i, t, "en", "b", 1, 2, "h", 3, 4, 5, 6) for i, t in ((1, "same words here"), (2, "same words here"), (2, "other words there and more"), (None, None), (None, ""))]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for stage, want in ((corpus_pipeline.exact_stage, [(1, "same words here"), (2, "other words there and more"), (None, "")]), (corpus_pipeline.near_stage, [(1, "same words here"), (2, "other words there and more"), (None, ""), (None, "")])):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted(want, key=str)
+        assert {tuple(r)[2:] for r in got.collect()} == {rows[0][2:]}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_pipeline_filters(spark):
+    """Documents without letters go at the language stage, toxic ones at the toxicity stage; the others stay whole."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    left = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "/root/testdata/sf0.1").collect()}
+    assert left == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    left = {r.doc_id for r in corpus_pipeline.toxicity_stage(spark, docs, "/root/testdata/sf0.1").collect()}
+    said = {r.doc_id: r.toxic for r in labels.collect()}
+    clean, toxic = ({i for i in said if said[i] == k} for k in (0, 1))
+    assert len(clean - left) <= 0.01 * len(clean) and len(toxic & left) <= 0.07 * len(toxic)
+
+
 def test_near_stage_links_from_80(spark):
     """Pairs between 0.80 and 0.85: the near stage links them, op7 doesn't; those under 0.80 stay."""
     rng = random.Random(11)
