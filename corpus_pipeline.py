@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import exact_dedup, language_id, near_dedup, packing, queries, toxicity
-from folioscope.llm.common import fold, stored
+from folioscope.llm.common import fold, small_batches, stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found go."""
+    small_batches(spark)
     model = language_id.train_language_model(docs.where(fold("doc_id", 4) != 2))
     return language_id.keep_identified(docs, model)
 
@@ -60,6 +61,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids."""
+    small_batches(spark)
     return packing.pack_documents(docs, queries.tokenizer("word_bpe_49k.json"), end_id=1)
 
 

@@ -29,6 +29,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/folioscope/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own value is eight times as large.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in small batches, which bounds memory on both sides; a user's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(name)).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write to a table in the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -62,7 +62,7 @@ class Kept(dict):
 class Encoder:
     """path: a tokenizers file; kind: "byte" (byte-level pieces with their leading space) or "word" (white space dropped)."""
 
-    def __init__(self, path: str, kind: str, keep: int = 700_000):
+    def __init__(self, path: str, kind: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.kind = kind

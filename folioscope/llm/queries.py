@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, language_id, lattice_lm, license_scan, media, near_dedup, packing, piece_bpe, token_files, toxicity
+from .common import small_batches
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +18,7 @@ def tokenizer(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
