@@ -16,7 +16,7 @@ DECIDING, GENERIC = ("dct", "jpx", "ccitt", "jbig2"), ("flate", "lzw", "runLengt
 
 def output_name(name: Column) -> Column:
     """only the last extension goes."""
-    return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("-smaller.pdf"))
+    return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("-reduced.pdf"))
 
 
 def safe_name(name: Column) -> Column:
@@ -101,3 +101,9 @@ def checksums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f"{fnv1a(str(i).encode()):016x}" for i in ids]), pa.array([zlib.adler32(r) for r in raw], pa.int64()), pa.array([None if s is None else len(s) for s in small], pa.int64())], ["doc_id", "fnv1a", "adler32", "deflated"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, fnv1a string, adler32 long, deflated long")
+
+
+def page_box(crop_w: Column, crop_h: Column, media_w: Column, media_h: Column) -> tuple[Column, Column]:
+    """Width and height of the crop box where it has an area, else of the media box."""
+    cropped = F.coalesce((crop_w > 0) & (crop_h > 0), F.lit(False))
+    return F.when(cropped, crop_w).otherwise(media_w), F.when(cropped, crop_h).otherwise(media_h)

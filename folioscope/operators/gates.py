@@ -23,19 +23,21 @@ def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (x.cast("double") + 1) * 127.5))).cast("long")).alias("pixels"))
 
 
-def mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+def correlation(a: Column, b: Column) -> Column:
+    """two flat pages are alike, one flat page is unlike; null where lengths differ or nothing is there.
 
+    One pass over both; whole pixel values keep every sum exact.
+    """
+    none = F.struct(*(F.lit(0.0).alias(k) for k in ("x", "y", "xx", "yy", "xy")))
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    add = lambda s, p: F.struct((s.x + p.x).alias("x"), (s.y + p.y).alias("y"), (s.xx + p.x * p.x).alias("xx"), (s.yy + p.y * p.y).alias("yy"), (s.xy + p.x * p.y).alias("xy"))
 
-def correlation(a: Column, b: Column) -> Column:
-    """two flat pages are alike, one flat page is unlike; null where lengths differ or nothing is there."""
-    ma, mb, n = mean(a), mean(b), F.size(a)
-    total = lambda z: F.aggregate(z, F.lit(0.0), lambda s, x: s + x)
-    va, vb = total(F.transform(a, lambda x: (x - ma) * (x - ma))), total(F.transform(b, lambda x: (x - mb) * (x - mb)))
-    cov = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    flat = (va <= 1e-6 * n) & (vb <= 1e-6 * n)
-    r = F.when(flat, 1.0).when((va <= 0) | (vb <= 0), 0.0).otherwise(F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
-    return F.when((n == F.size(b)) & (n > 0), r)
+    def ratio(s: Column) -> Column:
+        n = F.size(a).cast("double")
+        va, vb = s.xx - s.x * s.x / n, s.yy - s.y * s.y / n
+        return F.when((va <= 1e-6 * n) & (vb <= 1e-6 * n), 1.0).when((va <= 0) | (vb <= 0), 0.0).otherwise((s.xy - s.x * s.y / n) / (F.sqrt(va) * F.sqrt(vb)))
+
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.aggregate(pairs, none, add, ratio))
 
 
 def box_average(pixels: Column, side: int, target: int) -> Column:

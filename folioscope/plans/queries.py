@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import estimate, gates, inventory
-from ..sources.adapters import view, with_views
+from ..operators import decisions, estimate, gates, inventory
+from ..sources.adapters import register, view, with_views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -157,11 +157,12 @@ def target_search(spark, sf_dir):
     return estimate.search(d.select("doc_id", "target", start.alias("start"), F.greatest("lossless", "sendIt").alias("top"), F.least("tiny", "small").alias("floor"), F.when(F.col("duplicate_bytes") > 0, F.col("lossless")).alias("lossless"), F.col("non_image_bytes").alias("non_image")))
 
 
-@query(with_views("""SELECT doc_id, scan_order, object_id, raw_len FROM image_usage QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY raw_len DESC, scan_order) <= 5"""))
+@query(sql("""SELECT doc_id, scan_order, object_id, total_len FROM canonical QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total_len DESC, scan_order) <= 5""", 2))
 def top_images(spark, sf_dir):
-    """The five largest of each document."""
-    w = W.partitionBy("doc_id").orderBy(F.desc("raw_len"), "scan_order")
-    return view(spark, sf_dir, "image_usage").withColumn("k", F.row_number().over(w)).where("k <= 5").select("doc_id", "scan_order", "object_id", "raw_len")
+    """The five largest distinct images of each document, however often each is drawn."""
+    images = inventory.canonical(inventory.identified(inventory.described(view(spark, sf_dir, "image_usage"))))
+    w = W.partitionBy("doc_id").orderBy(F.desc("total_len"), "scan_order")
+    return images.withColumn("k", F.row_number().over(w)).where("k <= 5").select("doc_id", "scan_order", "object_id", "total_len")
 
 
 @query(with_views("""SELECT file_id, pass, bytes, coalesce(bytes - lag(bytes) OVER w, 0) AS delta, max(fraction) OVER w AS progress,
@@ -190,7 +191,7 @@ def soak_summary(spark, sf_dir):
   count(*) FILTER (event_type = 'purchase') AS a, count(*) FILTER (event_type = 'click') AS b FROM events GROUP BY user_id)"""))
 def ledger(spark, sf_dir):
     """Two stores, the larger count stands."""
-    view(spark, sf_dir, "run")
+    register(spark, sf_dir)
     e = spark.table("events").groupBy(F.col("user_id").alias("install")).agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("a"), F.count(F.when(F.col("event_type") == "click", 1)).alias("b"))
     e = e.withColumn("used", F.greatest("a", "b")).withColumn("remaining", F.greatest(F.lit(0), 10 - F.col("used")))
     return e.select("install", "used", "remaining", F.col("remaining").between(1, 3).alias("mention"))
@@ -200,7 +201,7 @@ def ledger(spark, sf_dir):
   FROM (SELECT DISTINCT 1 + c_custkey % 900 AS n FROM customer) CROSS JOIN (SELECT unnest(range(25)) AS k) WHERE CASE WHEN n <= 25 THEN k < n ELSE k < 12 END) GROUP BY n""")
 def sample_pages(spark, sf_dir):
     """Every page of short documents, else twelve evenly spaced with both ends."""
-    view(spark, sf_dir, "run")
+    register(spark, sf_dir)
     n = spark.table("customer").select((1 + F.col("c_custkey") % 900).alias("n")).distinct()
     return n.select("n", gates.sample_indices(F.col("n")).alias("indices"))
 
@@ -227,37 +228,119 @@ def box_average(spark, sf_dir):
     return t.select("vec_id", gates.box_average(F.col("pixels"), 8, 4).alias("small"), (F.array_min("pixels") == F.array_max("pixels")).alias("flat"))
 
 
-@query("""SELECT doc_id, first_id, doc_id <> first_id AS duplicate, CASE WHEN doc_id <> first_id THEN octet_length(encode(text)) ELSE 0 END AS saved FROM
-  (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents)""")
+@query("""SELECT doc_id, first_id, doc_id <> first_id AS duplicate, CASE WHEN doc_id <> first_id THEN octet_length(encode(t)) ELSE 0 END AS saved FROM
+  (SELECT doc_id, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents)""")
 def stream_dedup(spark, sf_dir):
-    """Content-addressed copies; only lengths that several streams have are hashed."""
-    view(spark, sf_dir, "run")
-    d = spark.table("documents").select("doc_id", "text", F.octet_length("text").alias("len"))
-    shared = d.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
-    hashed = d.join(shared, "len", "left_semi").select("doc_id", F.col("len").cast("long").alias("len"), F.sha2(F.col("text").cast("binary"), 256).alias("identity"))
-    first = hashed.groupBy("identity").agg(F.min("doc_id").alias("first_id"))
-    met = hashed.join(first, "identity").select("doc_id", "len", "first_id")
-    alone = d.join(shared, "len", "left_anti").select("doc_id", F.col("len").cast("long").alias("len"), F.col("doc_id").alias("first_id"))
+    """Content-addressed copies; a missing stream is an empty one.
+
+    The scan turns each stream into its digest and length, so only these are shuffled, spread by digest.
+    """
+    register(spark, sf_dir)
+    t = F.coalesce("text", F.lit(""))
+    d = spark.table("documents").select("doc_id", F.octet_length(t).cast("long").alias("len"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("identity"))
+    d = d.join(d.groupBy("identity").agg(F.min("doc_id").alias("first_id")), "identity")
     same = F.col("doc_id") == F.col("first_id")
-    return met.union(alone).select("doc_id", "first_id", (~same).alias("duplicate"), F.when(same, 0).otherwise(F.col("len")).alias("saved"))
+    return d.select("doc_id", "first_id", (~same).alias("duplicate"), F.when(same, 0).otherwise(F.col("len")).alias("saved"))
 
 
 @query("""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<(a|img)[\\s>]')) AS BIGINT) AS markers FROM pages""")
 def raw_census(spark, sf_dir):
     """Markers counted in raw bytes, whatever a parser makes of them."""
-    view(spark, sf_dir, "run")
+    register(spark, sf_dir)
     return spark.table("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?i)<(a|img)[\s>]"), F.lit(0))).cast("long").alias("markers"))
 
 
-EDGES = """SELECT 'o' || o_orderkey AS child, 'c' || o_custkey AS parent FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"""
+def nearest(leaves: DataFrame, edges: DataFrame, has: DataFrame, most: int = 64) -> DataFrame:
+    """(leaf, v): of each leaf (leaf, node) the value (node, v) of its nearest ancestor-or-self node over edges (child, parent).
+
+    Only distinct nodes climb, level by level; the leaves are joined once, at the end.
+    """
+    at = leaves.select(F.col("node").alias("start"), "node").distinct()
+    found = None
+    for _ in range(most):
+        here = at.join(has, "node").select("start", "v")
+        found = here if found is None else found.union(here)
+        at = at.join(has, "node", "left_anti").join(edges, at.node == edges.child).select("start", F.col("parent").alias("node"))
+        if at.isEmpty():
+            break
+    return leaves.join(found, leaves.node == found.start).select("leaf", "v")
 
 
 @query("""SELECT o_orderkey AS leaf, coalesce(CASE WHEN c_acctbal > 0 THEN 'customer' END, CASE WHEN n_nationkey % 2 = 0 THEN 'nation' END, 'region') AS inherited_from
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
 def inherited(spark, sf_dir):
     """The nearest ancestor that has the attribute, walking parents level by level (at most 64)."""
-    view(spark, sf_dir, "run")
-    return spark.sql(f"""WITH RECURSIVE edge AS ({EDGES}),
-      has AS (SELECT 'c' || c_custkey AS node, 'customer' AS v FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'n' || n_nationkey, 'nation' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r' || r_regionkey, 'region' FROM region),
-      walk(leaf, node, depth) AS (SELECT o_orderkey, 'o' || o_orderkey, 0 FROM orders UNION ALL SELECT leaf, parent, depth + 1 FROM walk JOIN edge ON child = node WHERE depth < 64)
-      SELECT leaf, min_by(v, depth) AS inherited_from FROM walk JOIN has USING (node) GROUP BY leaf""")
+    register(spark, sf_dir)
+    edges = spark.sql("SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation")
+    has = spark.sql("""SELECT 'c' || c_custkey AS node, 'customer' AS v FROM customer WHERE c_acctbal > 0 UNION ALL
+      SELECT 'n' || n_nationkey, 'nation' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r' || r_regionkey, 'region' FROM region""")
+    leaves = spark.sql("SELECT o_orderkey AS leaf, 'c' || o_custkey AS node FROM orders")
+    return nearest(leaves, edges, has).withColumnRenamed("v", "inherited_from")
+
+
+VERDICTS = f"""SELECT doc_id, identity, profile_id, total_len, produced, CASE WHEN reason IS NOT NULL THEN 'declined:' || reason
+    WHEN (f >= 0.999 AND flt = 'dct' AND mask_w IS NULL AND NOT (gray_scans AND scan) AND jpeg_quality >= 0.6) OR produced >= total_len THEN 'noSmaller' WHEN mask_w IS NOT NULL THEN 'recodedWithMask' ELSE 'recoded' END AS verdict
+  FROM (SELECT *, CAST(floor(w * h * (0.14 + 2.4 * jpeg_quality) / 8) AS BIGINT) + coalesce(CAST(floor(least(w * h, mask_w * mask_h * f * f) * 0.35 / 8) AS BIGINT), 0) AS produced
+    FROM (SELECT *, greatest(1, CAST(round(pixel_w * f) AS BIGINT)) AS w, greatest(1, CAST(round(pixel_h * f) AS BIGINT)) AS h FROM (SELECT c.*, p.*, CASE WHEN {DPI} <= 1 THEN 1.0 ELSE least(1.0, target_dpi / ({DPI})) END AS f,
+      EXISTS (SELECT 1 FROM scans s WHERE s.doc_id = c.doc_id AND s.page_index = c.page_index) AS scan FROM canonical c CROSS JOIN profile p WHERE p.recodes)))"""
+DECIDED = """SELECT o.doc_id, o.object_id, p.profile_id, d.identity, coalesce(d.own_len, 0) AS own_len, coalesce(v.total_len, 0) AS total_len, v.produced,
+    CASE WHEN d.identity IS NULL THEN 'declined:neverDrawn' WHEN v.verdict LIKE 'recoded%' AND d.met > d.first THEN 'deduplicated' ELSE v.verdict END AS decision
+  FROM object o CROSS JOIN profile p LEFT JOIN (SELECT doc_id, object_id, identity, own_len, met, min(met) OVER (PARTITION BY doc_id, identity) AS first FROM
+    (SELECT doc_id, object_id, min_by(identity, scan_order) AS identity, max(total_len) AS own_len, min(scan_order) AS met FROM named GROUP BY doc_id, object_id)) d ON d.doc_id = o.doc_id AND d.object_id = o.object_id
+  LEFT JOIN verdicts v ON v.doc_id = o.doc_id AND v.identity = d.identity AND v.profile_id = p.profile_id WHERE p.recodes"""
+DECIDED_CTES = [("named", NAMED), ("canonical", CANONICAL), ("scans", SCANS), ("verdicts", VERDICTS), ("decided", DECIDED)]
+ONCE = "coalesce(identity, 'object ' || object_id)"
+
+
+def decided(spark, sf_dir):
+    return decisions.decided(*parts(spark, sf_dir, "image_usage", "object", "page", "profile"))
+
+
+@query(with_views("SELECT doc_id, profile_id, decision, count(*) AS objects, CAST(sum(own_len) AS BIGINT) AS bytes FROM decided GROUP BY ALL", *DECIDED_CTES))
+def image_decisions(spark, sf_dir):
+    """E1's decisions, E8, F52, J2, P16, P17: what becomes of the stored objects of each document under each recoding profile."""
+    return decided(spark, sf_dir).groupBy("doc_id", "profile_id", "decision").agg(F.count("*").alias("objects"), F.sum("own_len").alias("bytes"))
+
+
+@query(with_views(f"""SELECT doc_id, profile_id, recode_bytes, dedup_bytes, recoded, masks, deduplicated, coalesce(declined, 0) AS declined, coalesce(declined_bytes, 0) AS declined_bytes,
+    concat_ws('; ', CASE WHEN raw_objects > resolved_objects THEN 'lost ' || (raw_objects - resolved_objects) || ' of ' || raw_objects END, CASE WHEN skipped > 0 THEN 'skipped ' || skipped END) AS warnings
+  FROM (SELECT doc_id, profile_id, CAST(greatest(0, sum(CASE WHEN decision LIKE 'recoded%' THEN total_len - produced ELSE 0 END)) AS BIGINT) AS recode_bytes, CAST(sum(CASE WHEN decision = 'deduplicated' THEN own_len ELSE 0 END) AS BIGINT) AS dedup_bytes,
+      count(*) FILTER (decision LIKE 'recoded%') AS recoded, count(*) FILTER (decision = 'recodedWithMask') AS masks, count(*) FILTER (decision = 'deduplicated') AS deduplicated,
+      count(*) FILTER (decision LIKE 'declined:%' AND identity IS NOT NULL) AS skipped FROM decided GROUP BY ALL)
+  LEFT JOIN (SELECT doc_id, profile_id, count(*) AS declined, CAST(sum(b) AS BIGINT) AS declined_bytes FROM (SELECT doc_id, profile_id, {ONCE} AS i, max(total_len) AS b FROM decided WHERE decision LIKE 'declined:%' GROUP BY ALL) GROUP BY ALL) USING (doc_id, profile_id)
+  JOIN document USING (doc_id)""", *DECIDED_CTES))
+def savings(spark, sf_dir):
+    """Bytes saved by re-encoding and by references, declines once for each image, warnings."""
+    return decisions.savings(decided(spark, sf_dir), view(spark, sf_dir, "document"))
+
+
+@query(with_views(f"""SELECT doc_id, profile_id, reason, count(*) AS images, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT doc_id, profile_id, split_part(decision, ':', 2) AS reason, {ONCE} AS i, max(total_len) AS b
+  FROM decided WHERE decision LIKE 'declined:%' GROUP BY ALL) GROUP BY ALL""", *DECIDED_CTES))
+def declines_by_reason(spark, sf_dir):
+    """Distinct images that were left alone, by reason."""
+    return decisions.declines_by_reason(decided(spark, sf_dir))
+
+
+PRODUCED = f"""SELECT a.vec_id // 8 AS doc_id, a.vec_id % 8 AS page_index, a.pixels AS source, CASE WHEN a.vec_id % 29 = 5 THEN list_transform(a.pixels, lambda x: CAST(0 AS BIGINT)) WHEN a.vec_id % 23 = 3 THEN b.pixels ELSE a.pixels END AS produced
+  FROM ({THUMBS}) a JOIN ({THUMBS}) b ON b.vec_id = a.vec_id + 1"""
+
+
+@query(f"""WITH p AS ({PRODUCED}), d AS (SELECT doc_id, doc_id % 17 <> 0 AS opens, count(*) - CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS pages, count(*) AS expected, doc_id % 3 <> 0 AS had_text, doc_id % 6 <> 1 AS has_text FROM p GROUP BY doc_id),
+  x AS (SELECT doc_id, page_index, list_min(produced) = list_max(produced) AS blank, unnest(source) AS u, unnest(produced) AS v FROM p JOIN d USING (doc_id) WHERE opens AND pages = expected),
+  m AS (SELECT doc_id, page_index, any_value(blank) AS blank, count(*) AS n, avg(u) AS mu, avg(v) AS mv FROM x GROUP BY ALL),
+  s AS (SELECT doc_id, page_index, any_value(m.blank) AS blank, any_value(n) AS n, sum((u - mu) * (v - mv)) AS c, sum((u - mu) * (u - mu)) AS va, sum((v - mv) * (v - mv)) AS vb FROM x JOIN m USING (doc_id, page_index) GROUP BY ALL),
+  r AS (SELECT *, CASE WHEN va <= 1e-6 * n AND vb <= 1e-6 * n THEN 1.0 WHEN va <= 0 OR vb <= 0 THEN 0.0 ELSE c / (sqrt(va) * sqrt(vb)) END AS r FROM s),
+  f AS (SELECT doc_id, min(page_index) AS failed_page, min_by(CASE WHEN blank THEN 'blankPage' ELSE 'pageDiverged' END, page_index) AS fault FROM r WHERE blank OR r < 0.75 GROUP BY doc_id),
+  w AS (SELECT doc_id, max(CASE WHEN NOT blank THEN 1 - r END) AS worst FROM r LEFT JOIN f USING (doc_id) WHERE failed_page IS NULL OR page_index <= failed_page GROUP BY doc_id),
+  v AS (SELECT *, CASE WHEN NOT opens THEN 'cannotReopen' WHEN pages <> expected THEN 'pageCountMismatch' ELSE coalesce(fault, CASE WHEN had_text AND NOT has_text THEN 'textVanished' END) END AS failure FROM d LEFT JOIN f USING (doc_id) LEFT JOIN w USING (doc_id))
+  SELECT doc_id, failure, failed_page, round(greatest(0, coalesce(worst, 0)), 6) AS worst, failure IS NULL AS passed FROM v""")
+def integrity(spark, sf_dir):
+    """The gate over produced documents of eight pages: some don't open, lost a page, have a blank or another page, lost their text."""
+    t = gates.thumbnails(spark, sf_dir)
+    v = F.col("vec_id")
+    pairs = t.toDF("vec_id", "source").join(t.select((v - 1).alias("vec_id"), F.col("pixels").alias("next")), "vec_id")
+    made = F.when(v % 29 == 5, F.transform("source", lambda x: F.lit(0).cast("long"))).when(v % 23 == 3, F.col("next")).otherwise(F.col("source"))
+    pages = pairs.select(F.floor(v / 8).alias("doc_id"), (v % 8).alias("page_index"), "source", made.alias("produced"))
+    k = F.col("doc_id")
+    documents = pages.groupBy("doc_id").agg(F.count("*").alias("expected")).select("doc_id", (k % 17 != 0).alias("opens"), (F.col("expected") - F.when(k % 13 == 0, 1).otherwise(0)).alias("pages"), "expected", (k % 3 != 0).alias("had_text"), (k % 6 != 1).alias("has_text"))
+    return decisions.checked(pages, documents).withColumn("worst", F.round("worst", 6))

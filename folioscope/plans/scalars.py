@@ -36,7 +36,7 @@ def settings(spark, sf_dir):
     return d.select("part", F.round(dpi, 6).alias("dpi"), F.round(q, 6).alias("quality"), gray.alias("gray"), F.round(estimate.bits_per_pixel(q), 6).alias("bits_per_pixel"), F.round(estimate.aggression((F.col("size") * 8).cast("double")), 6).alias("aggression"))
 
 
-@query(r"""SELECT p_partkey AS part, regexp_replace(n, '\.[^.]*$', '') || '-smaller.pdf' AS output_name, CASE WHEN trim(translate(n, '/:', '--')) = '' THEN 'Document.pdf' ELSE trim(translate(n, '/:', '--')) END AS safe_name,
+@query(r"""SELECT p_partkey AS part, regexp_replace(n, '\.[^.]*$', '') || '-reduced.pdf' AS output_name, CASE WHEN trim(translate(n, '/:', '--')) = '' THEN 'Document.pdf' ELSE trim(translate(n, '/:', '--')) END AS safe_name,
   CASE WHEN trim(n) = '' THEN NULL WHEN trim(n) LIKE '%.pdf' THEN trim(n) ELSE trim(n) || '.pdf' END AS renamed, lower(n) LIKE '%.pdf' AS accepted
   FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '.v1.pdf' WHEN 1 THEN ' ' || p_name || '/a:b ' WHEN 2 THEN p_name || '.PDF' ELSE '  ' END AS n FROM part)""")
 def names(spark, sf_dir):
@@ -66,13 +66,26 @@ def byte_formats(spark, sf_dir):
     return d.select("key", unit.alias("unit"), amount.alias("amount"), T.target_bytes(F.col("b") / 1000000.0).alias("target_bytes"), T.percent_saved(F.lit(200_000_000), F.least("b", F.lit(200_000_000))).alias("percent"))
 
 
-@query("""SELECT key, CASE WHEN pmod IN (90, 270) THEN h ELSE w END AS width, CASE WHEN pmod IN (90, 270) THEN w ELSE h END AS height FROM
-  (SELECT l_orderkey * 10 + l_linenumber AS key, ((l_linenumber * 90 - 360) % 360 + 360) % 360 AS pmod, l_quantity AS w, l_extendedprice AS h FROM lineitem)""")
+@query("""SELECT key, CASE WHEN pmod IN (90, 270) THEN h ELSE w END AS width, CASE WHEN pmod IN (90, 270) THEN w ELSE h END AS height FROM (SELECT key, pmod, CASE WHEN cw > 0 AND ch > 0 THEN cw ELSE mw END AS w, CASE WHEN cw > 0 AND ch > 0 THEN ch ELSE mh END AS h FROM
+  (SELECT l_orderkey * 10 + l_linenumber AS key, ((l_linenumber * 90 - 360) % 360 + 360) % 360 AS pmod, l_quantity AS mw, l_extendedprice AS mh, l_quantity - 10 AS cw, CASE WHEN l_linenumber <> 3 THEN l_extendedprice - 5 END AS ch FROM lineitem))""")
 def display_size(spark, sf_dir):
-    """F34, S10."""
-    d = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), (F.col("l_linenumber") * 90 - 360).alias("r"), F.col("l_quantity").alias("w"), F.col("l_extendedprice").alias("h"))
+    """The crop box where it has an area, else the media box; turned pages have their sides swapped."""
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), (F.col("l_linenumber") * 90 - 360).alias("r"), F.col("l_quantity").alias("mw"), F.col("l_extendedprice").alias("mh"), (F.col("l_quantity") - 10).alias("cw"), F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") - 5).alias("ch"))
+    w, h = T.page_box(F.col("cw"), F.col("ch"), F.col("mw"), F.col("mh"))
     turned = F.pmod("r", F.lit(360)).isin(90, 270)
-    return d.select("key", F.when(turned, F.col("h")).otherwise(F.col("w")).alias("width"), F.when(turned, F.col("w")).otherwise(F.col("h")).alias("height"))
+    return d.select("key", F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
+
+
+@query(r"""SELECT key, CASE WHEN name IN ('lossless', 'sendit', 'small', 'tiny') THEN name END AS profile, greatest(0, 10 - least(10, greatest(0, want))) AS spent, 10 - greatest(0, 10 - least(10, greatest(0, want))) AS remaining,
+  CASE WHEN stage = 0 THEN 'opening' WHEN stage = 1 THEN 'reading' WHEN stage = 2 THEN 'writing' ELSE 'an unknown step' END AS stage, a = b AS skip_export
+  FROM (SELECT p_partkey AS key, lower(CASE p_partkey % 5 WHEN 0 THEN 'Lossless' WHEN 1 THEN 'SENDIT' WHEN 2 THEN 'small' WHEN 3 THEN 'Tiny' ELSE p_name END) AS name, p_size - 20 AS want, p_partkey % 4 AS stage, p_partkey % 7 AS a, p_size % 7 AS b FROM part)""")
+def lookups(spark, sf_dir):
+    """Profiles by name in any case, a reset of spent credits within 0 to 10, stages by number, equal sizes aren't exported anew."""
+    k = F.col("p_partkey")
+    name = F.lower(F.when(k % 5 == 0, "Lossless").when(k % 5 == 1, "SENDIT").when(k % 5 == 2, "small").when(k % 5 == 3, "Tiny").otherwise(F.col("p_name")))
+    spent = F.greatest(F.lit(0), 10 - F.least(F.lit(10), F.greatest(F.lit(0), F.col("p_size") - 20)))
+    stages = F.create_map(*(F.lit(x) for kv in enumerate(("opening", "reading", "writing")) for x in kv))
+    return table(spark, sf_dir, "part").select(k.alias("key"), F.when(name.isin("lossless", "sendit", "small", "tiny"), name).alias("profile"), spent.alias("spent"), (10 - spent).alias("remaining"), F.coalesce(F.try_element_at(stages, (k % 4).cast("int")), F.lit("an unknown step")).alias("stage"), (k % 7 == F.col("p_size") % 7).alias("skip_export"))
 
 
 @query("""SELECT key, round(sqrt((a * q) * (a * q) + (b * q) * (b * q)), 6) AS drawn_w, round(sqrt((c * p) * (c * p) + (d * p) * (d * p)), 6) AS drawn_h FROM

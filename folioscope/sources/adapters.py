@@ -35,12 +35,13 @@ FROM (
 ) AS placed
 """
 
-#: One row for each page of a document, drawn on or not; a third of the pages have no text.
+#: One row for each page of a document, drawn on or not (the last of each has no image); a third of the pages have no text.
 PAGE = """
 SELECT doc_id, page_index, max(page_w * page_h) AS page_area, count(*) AS image_count, sum(raw_len) AS image_bytes,
        max(CASE WHEN page_w * page_h <= 0.01 THEN 0 ELSE drawn_w * drawn_h / (page_w * page_h) END) AS max_coverage,
        CASE WHEN (doc_id + page_index) % 3 = 0 THEN 0 ELSE 1 + (doc_id + page_index) % 50 END AS text_ops
 FROM image_usage GROUP BY doc_id, page_index
+UNION ALL SELECT s_suppkey, 40, CAST(612 * 792 AS DOUBLE), 0, 0, CAST(0 AS DOUBLE), s_suppkey % 4 FROM supplier
 """
 
 #: One row for each document: file size, and what an independent count of its raw image objects says.
@@ -52,6 +53,12 @@ FROM (SELECT doc_id, object_id, max(raw_len + coalesce(mask_len, 0)) AS object_b
 GROUP BY doc_id
 """
 
+#: Every image object stored in a document, some of which no page draws.
+OBJECT = """
+SELECT DISTINCT doc_id, object_id FROM image_usage
+UNION ALL SELECT s_suppkey, 1000000000 + c_custkey FROM supplier JOIN customer ON c_custkey = s_suppkey
+"""
+
 #: The four measured profiles (fixed values).
 PROFILE = """
 SELECT profile_id, CAST(target_dpi AS DOUBLE) AS target_dpi, CAST(jpeg_quality AS DOUBLE) AS jpeg_quality, gray_scans, recodes FROM (VALUES ('lossless', 300.0, 0.85, false, false), ('sendIt', 150.0, 0.65, false, true),
@@ -65,7 +72,7 @@ SELECT user_id AS file_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY
 FROM events
 """
 
-VIEWS = {"image_usage": IMAGE_USAGE, "page": PAGE, "document": DOCUMENT, "profile": PROFILE, "run": RUN}
+VIEWS = {"image_usage": IMAGE_USAGE, "page": PAGE, "document": DOCUMENT, "object": OBJECT, "profile": PROFILE, "run": RUN}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 

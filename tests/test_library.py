@@ -48,7 +48,7 @@ def one(spark, *cols):
 
 
 def test_known_answers(spark):
-    assert list(one(spark, T.output_name(F.lit("2026.Q1.report.pdf")), T.output_name(F.lit("scan")))) == ["2026.Q1.report-smaller.pdf", "scan-smaller.pdf"]
+    assert list(one(spark, T.output_name(F.lit("2026.Q1.report.pdf")), T.output_name(F.lit("scan")))) == ["2026.Q1.report-reduced.pdf", "scan-reduced.pdf"]
     long, short = one(spark, gates.sample_indices(F.lit(900)), gates.sample_indices(F.lit(9)))
     assert long == [0, 82, 163, 245, 327, 409, 490, 572, 654, 736, 817, 899] and short == list(range(9))
     got = one(spark, *[estimate.aggression(F.lit(float(x))) for x in (150, 110, 72)])
@@ -136,3 +136,56 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_decisions_of_a_deck(spark):
+    """Eight slides of a banner stored eight times and a picture of their own: 16 placements, 9 distinct, 7 references."""
+    from folioscope.operators import decisions
+
+    def usage(slide, obj, content, w, **more):
+        row = {"doc_id": 1, "page_index": slide, "scan_order": 10 * slide + obj % 2, "object_id": obj, "content_id": content, "pixel_w": w, "pixel_h": 1000, "bpc": 8, "components": 3, "flt": "flate", "raw_len": 400_000 + w,
+               "drawn_w": 200.0, "drawn_h": 100.0, "mask_w": None, "mask_h": None, "mask_len": None, "mask_matte": False, "mask_decode": False, "has_colour_key": False, "has_decode": False, "is_stencil": False, "page_w": 612.0, "page_h": 792.0}
+        return row | more
+
+    rows = [usage(k, 2 * k, 500, 1200) for k in range(8)] + [usage(k, 2 * k + 1, k, 1600 + k) for k in range(5)]
+    rows += [usage(5, 11, 5, 1605, has_decode=True), usage(6, 13, 6, 1606, flt="dct", raw_len=300), usage(7, 15, 7, 1607, mask_w=800, mask_h=500, mask_len=9000)]
+    schema = "doc_id long, page_index long, scan_order long, object_id long, content_id long, pixel_w long, pixel_h long, bpc int, components int, flt string, raw_len long, drawn_w double, drawn_h double, mask_w int, mask_h int, mask_len long, mask_matte boolean, mask_decode boolean, has_colour_key boolean, has_decode boolean, is_stencil boolean, page_w double, page_h double"
+    used = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    objects = spark.createDataFrame([(1, r["object_id"]) for r in rows] + [(1, 99)], "doc_id long, object_id long")
+    pages = spark.createDataFrame([(1, k, 484704.0, 2, 1, 0.1, 5) for k in range(8)], "doc_id long, page_index long, page_area double, image_count long, image_bytes long, max_coverage double, text_ops int")
+    profiles = spark.createDataFrame([("lossless", 300.0, 0.85, False, False), ("small", 110.0, 0.5, False, True)], "profile_id string, target_dpi double, jpeg_quality double, gray_scans boolean, recodes boolean")
+    got = {r.object_id: r.decision for r in decisions.decided(used, objects, pages, profiles).collect()}
+    assert got == {0: "recoded", **{2 * k: "deduplicated" for k in range(1, 8)}, **{2 * k + 1: "recoded" for k in range(5)}, 11: "declined:decodeArray", 13: "noSmaller", 15: "recodedWithMask", 99: "declined:neverDrawn"}
+    documents = spark.createDataFrame([(1, 20, 17, False)], "doc_id long, raw_objects long, resolved_objects long, is_locked boolean")
+    r = decisions.savings(decisions.decided(used, objects, pages, profiles), documents).first()
+    assert (r.recoded, r.masks, r.deduplicated, r.declined, r.declined_bytes) == (7, 1, 7, 2, 401_605) and r.dedup_bytes == 7 * 401_200 and r.warnings == "lost 3 of 20; skipped 1"
+
+
+def test_nearest_ancestor(spark):
+    from folioscope.plans.queries import nearest
+
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)] + [("x", "y"), ("y", "x")], "child string, parent string")
+    has = spark.createDataFrame([("n3", "three"), ("n6", "six")], "node string, v string")
+    leaves = spark.createDataFrame([(0, "n0"), (1, "n3"), (2, "n4"), (3, "x"), (4, "n0")], "leaf int, node string")
+    assert sorted(map(tuple, nearest(leaves, edges, has, 8).collect())) == [(0, "three"), (1, "three"), (2, "six"), (4, "three")]
+
+
+def test_gate_outcomes(spark):
+    """Each failure in its order; the first failing page decides, and pages behind it don't count."""
+    from folioscope.operators import decisions
+
+    ramp, down, flat = list(range(16)), list(range(16, 0, -1)), [7] * 16
+    own = {0: [(ramp, ramp)] * 3, 1: [(ramp, ramp), (ramp, down), (ramp, flat)], 2: [(ramp, flat), (ramp, down)], 3: [(ramp, ramp)], 4: [(ramp, ramp)], 5: [(ramp, ramp)]}
+    pages = spark.createDataFrame([(d, k, a, b) for d, p in own.items() for k, (a, b) in enumerate(p)], "doc_id long, page_index long, source array<long>, produced array<long>")
+    documents = spark.createDataFrame([(d, d != 3, len(p) - (d == 4), len(p), True, d != 5) for d, p in own.items()], "doc_id long, opens boolean, pages long, expected long, had_text boolean, has_text boolean")
+    got = {r.doc_id: (r.failure, r.failed_page, round(r.worst, 6)) for r in decisions.checked(pages, documents).collect()}
+    assert got == {0: (None, None, 0.0), 1: ("pageDiverged", 1, 2.0), 2: ("blankPage", 0, 0.0), 3: ("cannotReopen", None, 0.0), 4: ("pageCountMismatch", None, 0.0), 5: ("textVanished", None, 0.0)}
+
+
+def test_page_classes(spark):
+    """Text without images, a full-bleed scan, a scan with text, a picture on a page."""
+    from folioscope.operators import inventory
+
+    rows = [(0, 0.0, 30), (1, 0.97, 0), (1, 0.97, 4), (1, 0.3, 0)]
+    got = spark.createDataFrame(rows, "image_count int, max_coverage double, text_ops int").select(inventory.page_class().alias("c")).collect()
+    assert [r.c for r in got] == ["vectorOnly", "scanLike", "mixed", "mixed"]
