@@ -16,8 +16,10 @@ are not read.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +36,16 @@ SMOOTHING = 0.05
 BLOCK = 1 << 20
 
 
+def symbol(ch: str) -> int:
+    """0 for what isn't a letter, 1 to 26 for a to z, one of 37 more for other letters."""
+    low = ord(ch.lower()[0])
+    return (low - 96 if 97 <= low <= 122 else 27 + low % 37) if ch.isalpha() else 0
+
+
 @functools.lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
     """Code point (as far as the basic plane) to symbol; 0 is a word break."""
-    t = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            t[c] = low - 96 if 97 <= low <= 122 else 27 + low % 37
-    return t
+    return np.array([symbol(chr(c)) for c in range(0x10000)], np.uint8)
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +55,8 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
         part = text[max(0, at - 2) : at + BLOCK] if at else text[:BLOCK]
         code = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
         s = table[np.where(code < 0x10000, code, 0)].astype(np.int32)
+        for c in np.unique(code[code >= 0x10000]):  # letters beyond the basic plane
+            s[code == c] = symbol(chr(c))
         if not at:
             s = np.concatenate(([0], s))
         if at + BLOCK >= len(text):
@@ -69,23 +73,19 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def count_trigrams(train: DataFrame) -> DataFrame:
     """(lang, cell, n) over every row of (lang, text); one dense row of counts for each language and task, as it comes."""
 
-    def make():
-        def f(x):
-            sums: dict[str, np.ndarray] = {}
-            for lang, text in zip(x["lang"], x["text"], strict=True):
-                cells, n = trigrams(text)
-                sums.setdefault(lang, np.zeros(CELLS, np.int64))[cells] += n
-            out = {"lang": [], "cell": [], "n": []}
-            for lang, v in sums.items():
-                at = np.flatnonzero(v)
-                out["lang"] += [lang] * at.size
-                out["cell"] += at.tolist()
-                out["n"] += v[at].tolist()
-            return out
-
-        return f
-
-    return arrow_map(train, make, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                cells, n = trigrams(text.as_py())
+                if lang not in sums:
+                    sums[lang] = np.zeros(CELLS, np.int64)
+                sums[lang][cells] += n
+        for lang, v in sums.items():
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * at.size, pa.string()), "cell": pa.array(at, pa.int32()), "n": v[at]})
+
+    return train.select("lang", "text").mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:

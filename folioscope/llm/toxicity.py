@@ -18,9 +18,11 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ SUPPORT, PHRASE_SUPPORT = 500, 20_000
 LABEL_BYTES = 32 << 20
 #: A longer entry stays beside its beginning if its weight is so much more; entries of this weight see through accents.
 MORE, STRONG = 0.7, 5.0
+#: Keys that a task sums up before it sends them on.
+FLUSH = 200_000
 #: The logistic function is fitted on at most so many labelled rows.
 FIT_ROWS = 20_000
 
@@ -143,19 +147,20 @@ def phrases(s: str, at: int) -> list[str]:
     return out
 
 
-def tally(rows: DataFrame, keys) -> DataFrame:
-    """(key, n): in how many rows of text each key that keys(text) gives occurs; summed in the task before the shuffle."""
+def tally(rows: DataFrame, keys: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(key, n): in how many rows of text each key that keys(text) gives occurs; summed in the task, FLUSH keys at a time, before the shuffle."""
 
-    def make():
-        def f(x):
-            c: Counter = Counter()
-            for t in x["text"]:
-                c.update(keys(t))
-            return {"key": list(c), "n": list(c.values())}
-
-        return f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                c.update(keys(t.as_py()))
+                if len(c) > FLUSH:
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(c, pa.string()), "n": pa.array(c.values(), pa.int64())})
+                    c.clear()
+        yield pa.RecordBatch.from_pydict({"key": pa.array(c, pa.string()), "n": pa.array(c.values(), pa.int64())})
 
-    return arrow_map(rows.select("text"), make, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> tuple[float, float, float]:

@@ -115,6 +115,21 @@ def test_language_held_out(spark, docs, empty):
     assert language_id.language_of(empty).count() == 0
 
 
+def test_language_counts_by_brute_force(spark):
+    """Trigram counts of every row, letters beyond the basic plane among them, against plain loops; these letters have a language."""
+    own = [("en", "The cat, the hat"), ("en", "a𝐀𠀀 b1c"), ("fr", "Été d'été"), ("fr", ""), ("fr", "12 😀")]
+    want = Counter()
+    for lang, text in own:
+        s = [0, *map(language_id.symbol, text), 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            if b:
+                want[lang, (a * language_id.SYMBOLS + b) * language_id.SYMBOLS + c] += 1
+    rows = language_id.count_trigrams(spark.createDataFrame(own, "lang string, text string")).collect()
+    assert {(r.lang, r.cell): r.n for r in rows} == want
+    model = language_id.LanguageModel.from_counts([tuple(r) for r in rows])
+    assert model.predict("𝐀𠀀")[0] == "en" and model.predict("12 😀")[0] == language_id.UNKNOWN
+
+
 def test_language_mixture():
     rng = random.Random(1)
     words = {k: ["".join(rng.choice(s) for _ in range(5)) for _ in range(200)] for k, s in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"))}
