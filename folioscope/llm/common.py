@@ -48,10 +48,20 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What frees the caches of encoders in a worker process; workers outlive a stage, and the next may need the memory.
+releases: list[Callable[[], None]] = []
+
+
+def release_caches() -> None:
+    for f in releases:
+        f()
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Apply ``make()`` (called once for each task) to column lists of each Arrow batch, 1024 rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         f, out = make(), arrow_schema
         for b in batches:
             for at in range(0, b.num_rows, 1024):
@@ -68,6 +78,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], t
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         f = make()
         for b in batches:
             yield b.filter(pa.array([f(t.as_py()) for t in b.column(at)], pa.bool_()))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_text, stored
+from .common import SPACE, id_text, release_caches, stored
 from .components import components
 from .exact_dedup import bit_filter, may_hit
 
@@ -171,6 +171,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, sig, row; key is a digest of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for b in batches:
             key, n, sigs = [], [], []
             for t in b.column(1):

@@ -12,6 +12,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from .common import releases
+
 #: The white space of the tokenizers' patterns (Unicode's property; Python's \\s has four controls more).
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 ODD_SPACE = re.compile(f"[{WS}][{WS}]|[{WS}]$")
@@ -120,6 +122,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+releases.append(_encoders.clear)
 
 
 def shared_encoder(path: str, kind: str) -> Encoder:
