@@ -214,9 +214,10 @@ def train_lexicon(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
     lexicon = Lexicon(weighed(often, in_clean, n_toxic, n_clean))
     shared = spark.sparkContext.broadcast(lexicon.weights)
 
-    def near(text, cache={}):  # noqa: B006  one lexicon for each worker
-        lex = cache.setdefault(id(shared), Lexicon(shared.value))
-        found, s = lex.matches(text)
+    def near(text, cache={}):  # noqa: B006  one lexicon for each task
+        if not cache:
+            cache["lexicon"] = Lexicon(shared.value)
+        found, s = cache["lexicon"].matches(text)
         return {p for at, *_ in found for p in phrases(s, at)}
 
     odd = {r.key: r.n for r in tally(clean, near).where(F.col("n") >= max(3, -(-n_clean // PHRASE_SUPPORT))).collect()}
