@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, stored
-from .piece_encoder import shared_encoder
+from .piece_encoder import KEEP, shared_encoder
 
 WINDOW = 2048
 VOCABULARY = 1 << 16
@@ -42,12 +42,12 @@ FILLED, SAMPLED = 0.8, 30
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, keep: int = KEEP) -> DataFrame:
     """(doc_id, ids, df), stored. ids: little-endian unsigned 16-bit with the end id. A task's last row has only df:
     64-bit numbers of its documents with each term, then of its documents and of its ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = shared_encoder(tokenizer, kind), int(end_id).to_bytes(2, "little")
+        enc, tail = shared_encoder(tokenizer, kind, keep), int(end_id).to_bytes(2, "little")
         df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -64,9 +64,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms in ascending order, and how often each occurs."""
+    if not ids.size:
+        return ids, np.zeros(0, np.int64)
     own = np.sort(ids, kind="stable")  # by radix
-    at = np.flatnonzero(np.concatenate((np.ones(min(1, own.size), bool), own[1:] != own[:-1])))
-    return own[at], np.diff(at, append=own.size)
+    at = np.concatenate(((0,), np.flatnonzero(own[1:] != own[:-1]) + 1, (ids.size,)))
+    return own[at[:-1]], at[1:] - at[:-1]
 
 
 def document_frequencies(encoded: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -216,9 +218,9 @@ class Shard:
         return rows, sequence + k
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1) -> DataFrame:
-    """One row for each piece. Sequence ids are unique: the task's number, then a count."""
-    encoded = encode_documents(docs, tokenizer, kind, end_id)
+def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, keep: int = KEEP) -> DataFrame:
+    """One row for each piece. Sequence ids are unique: the task's number, then a count. keep: see KEEP; it bears on speed only."""
+    encoded = encode_documents(docs, tokenizer, kind, end_id, keep)
     n, tokens, df = document_frequencies(encoded)
     ids = encoded.where("ids is not null").select("doc_id", "ids")
     idf = np.log1p((n - df + 0.5) / (df + 0.5))

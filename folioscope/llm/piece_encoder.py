@@ -61,10 +61,14 @@ class Kept(dict):
         return self.get(key) or self.old.get(key) or self.make(key)
 
 
+#: Cuts whose ids a worker process keeps, in some 200 to 300 bytes each.
+KEEP = 300_000
+
+
 class Encoder:
     """path: a tokenizers file; kind: "byte" (byte-level pieces with their leading space) or "word" (white space dropped)."""
 
-    def __init__(self, path: str, kind: str, keep: int = 300_000):
+    def __init__(self, path: str, kind: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.kind = kind
@@ -74,7 +78,7 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         #: What literals begin with before their first letter: a quick test.
         self.marks = {re.match(r"\W*", t).group() for t in added}
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.letters = byte_letters()
         self.cuts, self.pieces = Kept(keep, self.cut), Kept(keep // 8, self.by_model)
 
@@ -83,12 +87,12 @@ class Encoder:
 
     def by_model(self, s: str) -> bytes:
         """Ids of a string that the pattern cuts no further, as unsigned 16-bit integers."""
-        return array("H", [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array("H", [t.id for t in self.tokenize(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def word(self, s: str) -> bytes:
         """Ids of letters alone, which are one piece, without a second entry among the pieces."""
         if s.isascii():
-            return array("H", [t.id for t in self.model.tokenize(s if self.kind == "word" else "\u0120" + s)]).tobytes()
+            return array("H", [t.id for t in self.tokenize(s if self.kind == "word" else "\u0120" + s)]).tobytes()
         return self.by_model(s if self.kind == "word" else " " + s)
 
     def cut(self, s: str) -> bytes:
@@ -121,12 +125,13 @@ class Encoder:
         return first + b"".join(map(self.cuts.__getitem__, cuts))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, int], Encoder] = {}
 releases.append(_encoders.clear)
 
 
-def shared_encoder(path: str, kind: str) -> Encoder:
+def shared_encoder(path: str, kind: str, keep: int = KEEP) -> Encoder:
     """The worker process's encoder: what one task has kept serves the next, and is held once."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+    if (path, kind, keep) not in _encoders:
+        _encoders.clear()
+        _encoders[path, kind, keep] = Encoder(path, kind, keep)
+    return _encoders[path, kind, keep]
