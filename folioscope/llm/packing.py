@@ -35,6 +35,8 @@ VOCABULARY = 1 << 16
 #: A shard ends at so many tokens or documents.
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4096
 K1, B = 1.2, 0.75
+#: Terms that one in so many documents of a shard has are laid out in full, which takes at most so many cells for each posting.
+COMMON = 8
 #: Levels of a sketch: terms that a fifth of all documents have at least, then an eighth of that, and so on.
 LEVELS, COARSEST, FINER = 6, 5, 8
 #: Ranges are dealt so that they fill a shard to this share, as their bounds come from a sample of so many sketches each.
@@ -155,23 +157,37 @@ class Shard:
         self.doc = np.repeat(np.arange(len(docs)), [t.size for t in self.query])[order]
         self.weight = np.concatenate([weights(t, tf, d.size, idf, mean) for (t, tf), d in zip(counted, docs, strict=True)])[order].astype(np.float64)
         self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(term, minlength=VOCABULARY))))
+        common = np.flatnonzero(np.diff(self.at) * COMMON >= max(COMMON, len(docs)))
+        self.line = np.full(VOCABULARY, -1)
+        self.line[common] = np.arange(common.size)
+        line = self.line[term[order]]
+        self.table, self.column = np.zeros((common.size, len(docs)), np.float32), np.arange(len(docs))
+        self.table[line[line >= 0], self.doc[line >= 0]] = self.weight[line >= 0]
+        self.keep(line < 0)
         self.unused, self.left, self.held = np.ones(len(docs), bool), len(docs), len(docs)
 
+    def keep(self, stay: np.ndarray) -> None:
+        """Leave other postings out of the index."""
+        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(stay)))[self.at]
+        self.doc, self.weight = self.doc[stay], self.weight[stay]
+
     def shrink(self) -> None:
         """Leave used documents out of the index."""
-        stay = self.unused[self.doc]
-        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(stay)))[self.at]
-        self.doc, self.weight, self.held = self.doc[stay], self.weight[stay], self.left
+        self.keep(self.unused[self.doc])
+        stay = self.unused[self.column]
+        self.table, self.column, self.held = self.table[:, stay], self.column[stay], self.left
 
     def neighbours(self, seed: int) -> list[int]:
         """Unused documents by BM25 score for all of the seed's terms, the best 64 and those that equal the last of them."""
         if self.left < 0.7 * self.held:
             self.shrink()
-        start, end = self.at[self.query[seed]], self.at[self.query[seed] + np.int64(1)]
-        spans = [slice(s, e) for s, e in zip(start.tolist(), end.tolist(), strict=True) if e > s]
-        if not spans:
-            return []
-        score = np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), len(self.docs)) * self.unused
+        terms = self.query[seed].astype(np.int64)
+        line = self.line[terms]
+        start, n = self.at[terms], self.at[terms + 1] - self.at[terms]
+        at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)  # of all their postings
+        score = np.bincount(self.doc[at], self.weight[at], len(self.docs)).astype(float)  # whole numbers where there are none
+        score[self.column] += self.table[line[line >= 0]].sum(axis=0)
+        score *= self.unused
         least = np.partition(score, -64)[-64] if score.size > 64 else 0.0
         top = np.flatnonzero((score >= least) & (score > 0))
         return top[np.lexsort((top, -score[top]))].tolist()
