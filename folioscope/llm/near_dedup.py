@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, id_text, release_caches, stored
 from .components import components
-from .exact_dedup import bit_filter, may_hit
+from .exact_dedup import may_hit
 
 WORDS = 5
 #: The limit unless another is given.
@@ -348,7 +348,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = stored(buckets.hint("merge").join(shared, "bucket"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     wanted = stored(wanted.select("node", "key", "sig", "id"), "wanted")
-    mine = may_hit(rows, "doc_id", bit_filter(wanted, "id")).withColumn("key", word_key("text"))  # the rows of the nodes, by their ids
+    mine = may_hit(rows, "doc_id", wanted.select(F.col("id").alias("doc_id"))).withColumn("key", word_key("text"))  # the rows of the nodes, by their ids
     texts = stored(mine.join(wanted.select("key", "node"), "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     pairs = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, fold, id_text, keep_rows, stored
-from .exact_dedup import bit_filter, bit_of, may_hit
+from .exact_dedup import bit_of, may_hit
 
 #: Look-alike letters of other scripts, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -280,7 +280,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bits = own.groupBy(F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(at).alias("any"), F.bitmap_construct_agg(F.when(F.col("toxic") == 1, at)).alias("bad"))
     bits = stored(bits, "label_bits")
     if 2 * 4096 * bits.count() > LABEL_BYTES:
-        return may_hit(rows, "doc_id", bit_filter(own, "doc_id")).join(own, "doc_id").select("text", "toxic")
+        own = stored(own, "labels")
+        return may_hit(rows, "doc_id", own).join(own, "doc_id").select("text", "toxic")
     met = rows.withColumn("bucket", F.bitmap_bucket_number("doc_id")).withColumn("bit", at).join(F.broadcast(bits), "bucket")
     return met.where(bit_of("any", "bit") == 1).select("text", bit_of("bad", "bit").cast("int").alias("toxic"))
 

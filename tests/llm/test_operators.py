@@ -106,6 +106,26 @@ def test_exact_dedup(docs, rows, empty, bits):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_dedup_semi_joins_beyond_the_filter(spark, docs, rows, monkeypatch):
+    want = sorted(map(str, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 0)
+    assert sorted(map(str, exact_dedup.exact_groups(docs).collect())) == want
+    assert {r.doc_id for r in exact_dedup.without(docs, spark.createDataFrame([(7,), (14,)], "doc_id long")).collect()} == {i for i, _ in rows} - {7, 14}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 28])
+def test_digest_index_takes_batches(docs, empty, most, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", most)
+    parts = [exact_dedup.flush_runs(x) for x in (docs.where("doc_id < 50"), docs.where("doc_id >= 50 or doc_id is null"), empty)]
+    level = exact_dedup.compact(parts[0])
+    earlier = {bytes(r.digest): (r.keep_id, r.group_size) for r in level.collect()}
+    batch = {bytes(r.digest) for r in parts[1].collect()}
+    assert {bytes(r.digest): (r.keep_id, r.group_size) for r in exact_dedup.known(level, parts[1]).collect()} == {d: x for d, x in earlier.items() if d in batch}
+    for p in parts[1:]:
+        level = exact_dedup.compact(p, level)
+    assert sorted(map(str, level.collect())) == sorted(map(str, exact_dedup.compact(exact_dedup.flush_runs(docs)).collect()))
+
+
 def test_language_held_out(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.language_of(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
