@@ -11,14 +11,17 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Place of a line item among those of its supplier.
+SCAN_ORDER = "CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT)"
+
 #: One row for each draw of an image on a page. scan_order is the order in which a document's draws are met.
-IMAGE_USAGE = """
+IMAGE_USAGE = f"""
 SELECT doc_id, page_index, scan_order, object_id, content_id, pixel_w, pixel_h, bpc, components, flt, raw_len,
        drawn_w, drawn_h, mask_w, mask_h, mask_len, mask_matte, mask_decode, has_colour_key, has_decode, is_stencil,
        CAST(612 AS DOUBLE) AS page_w, CAST(792 AS DOUBLE) AS page_h
 FROM (
   SELECT l_suppkey AS doc_id, l_orderkey % 40 AS page_index,
-         CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS scan_order,
+         {SCAN_ORDER} AS scan_order,
          l_partkey AS object_id, l_partkey % 97 AS content_id,
          200 + 40 * ((CASE WHEN l_partkey % 97 < 60 THEN l_partkey % 97 % 24 ELSE l_partkey % 97 END) % 50) AS pixel_w,
          150 + 30 * ((CASE WHEN l_partkey % 97 < 60 THEN l_partkey % 97 % 24 ELSE l_partkey % 97 END) % 40) AS pixel_h,
@@ -76,17 +79,31 @@ VIEWS = {"image_usage": IMAGE_USAGE, "page": PAGE, "document": DOCUMENT, "object
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def with_views(body: str, *more: tuple[str, str]) -> str:
+def with_views(body: str, *more: tuple[str, str], views: dict[str, str] = VIEWS) -> str:
     """A statement that defines, in front of body, the views it names (and those that these name), then more."""
     used, text = [], body + " ".join(s for _, s in more)
-    for name in reversed(VIEWS):
+    for name in reversed(views):
         if re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
             used.append(name)
-            text += VIEWS[name]
-    parts = [f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in used] + [f"{n} AS ({s})" for n, s in more]
+            text += views[name]
+    parts = [f"{n} AS ({views[n]})" for n in views if n in used] + [f"{n} AS ({s})" for n, s in more]
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
+#: Line items in a partition of the views, on average, which bounds a task's sorts and groups.
+SPREAD_ROWS = 100_000
+
+
+def spread_usage(parts: int) -> str:
+    """IMAGE_USAGE for Spark: line items are dealt by document and put in order with their own columns only.
+
+    What follows from these columns is computed behind the sort, and what groups by document needs no other shuffle.
+    """
+    lines = f"SELECT /*+ REPARTITION({parts}, l_suppkey) */ l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate FROM lineitem"
+    given = f"(SELECT l_suppkey, l_orderkey, l_partkey, l_quantity, {SCAN_ORDER} AS scan_order FROM ({lines}) AS l) AS lines"
+    return IMAGE_USAGE.replace(SCAN_ORDER, "scan_order").replace("FROM lineitem", f"FROM {given}")
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views of the tables of a folder, made once in a session while it is about the same folder."""
     if spark.conf.get("folioscope.tables", None) == sf_dir:
@@ -99,4 +116,15 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views as a DataFrame."""
     register(spark, sf_dir)
-    return spark.sql(with_views(f"SELECT * FROM {name}"))
+    return spark.sql(with_views(f"SELECT * FROM {name}", views=VIEWS | {"image_usage": spread_usage(usage_parts(spark, sf_dir))}))
+
+
+def usage_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of the line items by document: as many as their number asks for, counted once in a session for each folder."""
+    known = spark.conf.get("folioscope.usage_parts", "").split(" ", 1)
+    if known[1:] != [sf_dir]:
+        n = spark.table("lineitem").count()
+        cores = spark.sparkContext.defaultParallelism if n > SPREAD_ROWS else 1
+        known = [str(max(cores, -(-n // SPREAD_ROWS))), sf_dir]
+        spark.conf.set("folioscope.usage_parts", " ".join(known))
+    return int(known[0])

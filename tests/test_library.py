@@ -189,3 +189,37 @@ def test_page_classes(spark):
     rows = [(0, 0.0, 30), (1, 0.97, 0), (1, 0.97, 4), (1, 0.3, 0)]
     got = spark.createDataFrame(rows, "image_count int, max_coverage double, text_ops int").select(inventory.page_class().alias("c")).collect()
     assert [r.c for r in got] == ["vectorOnly", "scanLike", "mixed", "mixed"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_usage_is_dealt_once(spark, monkeypatch):
+    """The Spark form of image_usage has the rows of the SQL, deals and sorts plain line items, and identities need no other shuffle."""
+    from folioscope.operators import inventory
+    from folioscope.sources import adapters
+
+    monkeypatch.setattr(adapters, "SPREAD_ROWS", 2000)
+    spark.conf.unset("folioscope.usage_parts")
+    usage = adapters.view(spark, SF, "image_usage")
+    want = spark.sql(adapters.with_views("SELECT * FROM image_usage"))
+    assert usage.columns == want.columns and usage.exceptAll(want).isEmpty() and want.exceptAll(usage).isEmpty()
+    dealt = [x for x in plan_of(inventory.storage(usage, adapters.view(spark, SF, "document"))).splitlines() if " Exchange " in x]
+    spark.conf.unset("folioscope.usage_parts")
+    assert dealt and all("hashpartitioning(l_suppkey" in x for x in dealt), dealt
+    behind = plan_of(usage).split("Window", 1)[1]
+    assert "pixel_w" not in behind and "flt" not in behind
+
+
+def test_usage_partitions_grow(spark, monkeypatch):
+    """So many partitions that each has a bounded number of line items on average."""
+    from folioscope.sources import adapters
+
+    adapters.register(spark, SF)
+    n = spark.table("lineitem").count()
+    monkeypatch.setattr(adapters, "SPREAD_ROWS", 50)
+    spark.conf.unset("folioscope.usage_parts")
+    assert adapters.usage_parts(spark, SF) >= n / 50
+    assert adapters.view(spark, SF, "page").rdd.getNumPartitions() > 0
+    spark.conf.unset("folioscope.usage_parts")
