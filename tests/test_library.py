@@ -223,3 +223,21 @@ def test_usage_partitions_grow(spark, monkeypatch):
     assert adapters.usage_parts(spark, SF) >= n / 50
     assert adapters.view(spark, SF, "page").rdd.getNumPartitions() > 0
     spark.conf.unset("folioscope.usage_parts")
+
+
+def test_tallies_equal_decisions(spark):
+    """Objects summed by identity say what single objects say, also where draws of an object differ and rows are null."""
+    from folioscope.operators import decisions
+    from folioscope.sources import adapters
+
+    usage, objects, pages, profiles = [adapters.view(spark, SF, n) for n in ("image_usage", "object", "page", "profile")]
+    # some draws of an object have another object's size or content
+    odd = usage.withColumn("raw_len", F.when(F.col("scan_order") % 7 == 0, F.lit(5000).cast("long")).otherwise(F.col("raw_len"))).withColumn("object_id", F.col("object_id") % 40).withColumn("flt", F.when(F.col("scan_order") % 11 != 0, F.col("flt")))
+    stored = odd.select("doc_id", "object_id").distinct().union(objects.where("object_id >= 1000000000"))
+    each, tally = decisions.decided(odd, stored, pages, profiles).cache(), decisions.tallied(odd, stored, pages, profiles).cache()
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    by = lambda d: d.groupBy("doc_id", "profile_id", "decision").agg(F.sum("objects").alias("n"), F.sum("own_len").alias("b"))
+    assert each.where("decision = 'deduplicated'").count() > 0 and rows(by(each)) == rows(by(tally))
+    assert rows(decisions.declines_by_reason(each)) == rows(decisions.declines_by_reason(tally))
+    documents = adapters.view(spark, SF, "document")
+    assert rows(decisions.savings(each, documents)) == rows(decisions.savings(tally, documents))
