@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, stored
+from .common import id_text, release_caches, stored
 from .piece_encoder import KEEP, shared_encoder
 
 WINDOW = 2048
@@ -77,6 +77,7 @@ def document_frequencies(encoded: DataFrame) -> tuple[int, int, np.ndarray]:
     """Number of documents, of ids, and of documents with each term; at most one row for each term reaches the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()  # of the encoding before
         total = np.zeros(VOCABULARY + 2, np.int64)
         for b in batches:
             for x in b.column(0):
@@ -122,6 +123,7 @@ def placed(ids: DataFrame, n: int, tokens: int, df: np.ndarray) -> DataFrame:
     ranges = max(1, math.ceil(tokens / (FILLED * SHARD_TOKENS)), math.ceil(n / (FILLED * SHARD_DOCS)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         of = Sketcher(n, *shared.value, mean)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -243,6 +245,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
     shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))  # one number for each term
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         sequence = TaskContext.get().partitionId() << 32
         names = [x.split()[0] for x in PIECES.split(", ")]
         doc_ids, held, tokens = [], [], 0  # of one shard

@@ -603,3 +603,31 @@ def test_packing_queries_with_all_terms():
     shard = packing.Shard([0, 1, 2], [x.astype("<u2") for x in own], np.ones(packing.VOCABULARY), 100.0)
     shard.unused[0] = False
     assert shard.neighbours(0) == [1]
+
+
+def test_packing_lets_encoder_caches_go(monkeypatch):
+    """Workers hold the encoder while they encode only: the steps behind it free what it has kept."""
+    from types import SimpleNamespace
+
+    from folioscope.llm import packing, piece_encoder
+
+    maps = []
+
+    class Rows:
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def mapInArrow(self, f, schema):
+            maps.append(f)
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a, **k: [] if name == "collect" else self
+
+    monkeypatch.setattr(packing, "encode_documents", lambda *a: Rows())
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packing.pack_documents(Rows(), "none")
+    assert len(maps) == 4
+    for f in maps:
+        piece_encoder._encoders["kept"] = object()
+        list(f(iter([])))
+        assert not piece_encoder._encoders
