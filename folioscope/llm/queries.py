@@ -39,7 +39,7 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, keep=800_000)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

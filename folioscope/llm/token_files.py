@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, scratch
-from .piece_encoder import shared_encoder
+from .piece_encoder import KEEP, shared_encoder
 
 NULL_ID = -(1 << 63)
 #: Text bytes that a part should hold at most, on average.
@@ -72,7 +72,7 @@ class Folder:
             return np.frombuffer(f.read_buffer(), dtype)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, vocabulary: int = 50_257, parts: int | None = None) -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, vocabulary: int = 50_257, parts: int | None = None, keep: int = KEEP) -> str:
     """Encode every text and write the folder; returns its URI. index.json there holds what the prefix sums gave."""
     spark = docs.sparkSession
     rows = id_text(docs)
@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_i
     wide = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shared_encoder(tokenizer, kind)
+        enc = shared_encoder(tokenizer, kind, keep)
         tail = np.array([end_id], wide).tobytes()
         sizes, ids = array("Q", [0]), array("q")
         part = f"{TaskContext.get().partitionId():06d}"
@@ -141,6 +141,6 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
     return spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, schema)
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Write the files, then read them back."""
-    return read_token_files(docs.sparkSession, write_token_files(docs, tokenizer, "byte", end_id))
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, keep: int = KEEP) -> DataFrame:
+    """Write the files, then read them back. keep: see KEEP; it bears on speed only."""
+    return read_token_files(docs.sparkSession, write_token_files(docs, tokenizer, "byte", end_id, keep=keep))

@@ -631,3 +631,11 @@ def test_packing_lets_encoder_caches_go(monkeypatch):
         piece_encoder._encoders["kept"] = object()
         list(f(iter([])))
         assert not piece_encoder._encoders
+
+
+def test_token_files_cache_bears_on_speed_only(spark):
+    from folioscope.llm import queries, token_files
+
+    docs = spark.createDataFrame([(k, f"word{k} again, again Word{k % 3} x{k}y  end") for k in range(40)] + [(40, None)], "doc_id long, text string")
+    small, large = [sorted(map(tuple, token_files.token_files(docs, queries.tokenizer("byte_bpe_50k.json"), keep=n).collect())) for n in (2, 1000)]
+    assert small == large and len(small) == 41
