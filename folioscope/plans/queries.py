@@ -127,11 +127,9 @@ def estimates(spark, sf_dir):
 def inventory_rollup(spark, sf_dir):
     """Flagship: one row for each document with what it stores and what it would become."""
     usage, pages, documents, profiles = parts(spark, sf_dir, "image_usage", "page", "document", "profile")
-    contested = inventory.contested_keys(usage).groupBy("doc_id").agg(F.count("*").alias("contested"))
-    scans = estimate.page_classes(pages).where("page_class = 'scanLike'").groupBy("doc_id").agg(F.count("*").alias("scan_pages"))
-    sizes = estimate.estimates(usage, pages, documents, profiles.where("profile_id = 'sendIt'")).select("doc_id", F.col("predicted").alias("predicted_send_it"))
-    d = inventory.storage(usage, documents).join(inventory.addressable(usage), "doc_id").join(contested, "doc_id", "left").join(scans, "doc_id", "left").join(sizes, "doc_id")
-    return d.select("doc_id", "object_bytes", "unique_bytes", "distinct_images", "addressable_bytes", F.coalesce("contested", F.lit(0)).alias("contested"), F.coalesce("scan_pages", F.lit(0)).alias("scan_pages"), "predicted_send_it")
+    d = estimate.sized(usage, pages, documents, profiles.where("profile_id = 'sendIt'"))
+    named = {"addressable_bytes": "raw_addressable_bytes", "contested": "contested_keys", "predicted_send_it": "predicted"}
+    return d.select("doc_id", "object_bytes", "unique_bytes", "distinct_images", *[F.col(named.get(k, k)).alias(k) for k in ("addressable_bytes", "contested", "scan_pages", "predicted_send_it")])
 
 
 @query(sql("""SELECT profile_id, count(*) AS documents, round(avg(e), 6) AS mean_error, round(list_sort(list(e))[CAST(floor(count(*) / 2) AS BIGINT) + 1], 6) AS upper_median, CAST(sum(CASE WHEN e <= 0.15 THEN 1 ELSE 0 END) AS BIGINT) AS within
