@@ -137,8 +137,8 @@ def inventory_rollup(spark, sf_dir):
 def prediction_accuracy(spark, sf_dir):
     """The upper median, not the mean of the middle two. Achieved sizes are stand-ins."""
     usage, pages, documents, profiles = parts(spark, sf_dir, "image_usage", "page", "document", "profile")
-    actual = documents.select("doc_id", (F.col("byte_size") * (40 + F.col("doc_id") % 50) / 100.0).alias("a"))
-    e = estimate.estimates(usage, pages, documents, profiles).join(actual, "doc_id").withColumn("e", F.abs(F.col("predicted") - F.col("a")) / F.col("a"))
+    actual = (F.col("byte_size") * (40 + F.col("doc_id") % 50) / 100.0).alias("a")
+    e = estimate.sized(usage, pages, documents, profiles).select("doc_id", "profile_id", "predicted", actual).withColumn("e", F.abs(F.col("predicted") - F.col("a")) / F.col("a"))
     w = W.partitionBy("profile_id").orderBy("e", "doc_id")
     ranked = e.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("profile_id")))
     return ranked.groupBy("profile_id").agg(F.count("*").alias("documents"), F.round(F.avg("e"), 6).alias("mean_error"), F.round(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("e"))), 6).alias("upper_median"), F.sum(F.when(F.col("e") <= 0.15, 1).otherwise(0)).alias("within"))
