@@ -248,7 +248,7 @@ def test_sizes_take_one_pass(spark, monkeypatch):
     from folioscope.sources import adapters
 
     monkeypatch.setattr(adapters, "SPREAD_ROWS", 2000)
-    for name in ("inventory_rollup", "estimates", "prediction_accuracy"):
+    for name in ("inventory_rollup", "estimates", "prediction_accuracy", "target_search"):
         spark.conf.unset("folioscope.usage_parts")
         plan = plan_of(registry.queries()[name](spark, SF)).splitlines()
         spark.conf.unset("folioscope.usage_parts")
