@@ -37,6 +37,8 @@ SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4096
 K1, B = 1.2, 0.75
 #: Terms that one in so many documents of a shard has are laid out in full, which takes at most so many cells for each posting.
 COMMON = 8
+#: Texts that are encoded together at most; a batch ends them as well.
+TOGETHER = 4096
 #: Levels of a sketch: terms that a fifth of all documents have at least, then an eighth of that, and so on.
 LEVELS, COARSEST, FINER = 6, 5, 8
 #: Ranges are dealt so that they fill a shard to this share, as their bounds come from a sample of so many sketches each.
@@ -48,29 +50,54 @@ def encode_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id
     """(doc_id, ids, df), stored. ids: little-endian unsigned 16-bit with the end id. A task's last row has only df:
     64-bit numbers of its documents with each term, then of its documents and of its ids."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = shared_encoder(tokenizer, kind, keep), int(end_id).to_bytes(2, "little")
+        encode = enc.encode_all if kind == "word" else lambda texts: list(map(enc.encode, texts))
         df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = [enc.encode(t.as_py()) + tail for t in part.column(1)]
-                for x in ids:
-                    df[term_counts(np.frombuffer(x, "<u2"))[0]] += 1
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                ids = [x + tail for x in encode(part.column(1).to_pylist())]
+                for some in portions([np.frombuffer(x, "<u2") for x in ids]):
+                    df += np.bincount(postings(some)[1], minlength=VOCABULARY)
                 n, tokens = n + len(ids), tokens + sum(map(len, ids)) // 2
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "df"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([np.append(df, (n, tokens)).tobytes()])], ["doc_id", "ids", "df"])
 
-    return stored(id_text(docs).mapInArrow(encode, "doc_id long, ids binary, df binary"), "ids")
+    return stored(id_text(docs).mapInArrow(run, "doc_id long, ids binary, df binary"), "ids")
+
+
+#: Ids and documents that are sorted together at most.
+PORTION, PORTION_DOCS = 1 << 18, 4096
+
+
+def portions(docs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Documents in order, in lists of bounded size (a larger document is alone in its list)."""
+    held, n = [], 0
+    for d in docs:
+        if held and (n + d.size > PORTION or len(held) >= PORTION_DOCS):
+            yield held
+            held, n = [], 0
+        held.append(d)
+        n += d.size
+    if held:
+        yield held
+
+
+def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of documents, their distinct terms in ascending order, and how often each occurs; all documents in one sort."""
+    sizes = [d.size for d in docs]
+    keys = np.repeat(np.arange(len(docs), dtype=np.uint32), sizes) << 16
+    keys |= np.concatenate([*docs, np.zeros(0, "<u2")])
+    keys.sort()
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, keys.size), bool), keys[1:] != keys[:-1])))
+    own = keys[at]
+    return (own >> 16).astype(np.int64), (own & 0xFFFF).astype(np.int64), np.diff(at, append=keys.size)
 
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms in ascending order, and how often each occurs."""
-    if not ids.size:
-        return ids, np.zeros(0, np.int64)
-    own = np.sort(ids, kind="stable")  # by radix
-    at = np.concatenate(((0,), np.flatnonzero(own[1:] != own[:-1]) + 1, (ids.size,)))
-    return own[at[:-1]], at[1:] - at[:-1]
+    return postings([ids])[1:]
 
 
 def document_frequencies(encoded: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -91,13 +118,13 @@ def document_frequencies(encoded: DataFrame) -> tuple[int, int, np.ndarray]:
     return int(total[-2]), int(total[-1]), total[:-2]
 
 
-def weights(term: np.ndarray, tf: np.ndarray, size: int, idf: np.ndarray, mean: float) -> np.ndarray:
-    """BM25 weights of a document's terms."""
+def weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of terms in documents of these sizes."""
     return idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)))
 
 
 class Sketcher:
-    """Sketch of a document: its weightiest term of each level of frequency, from common to rare, as bytes in that order."""
+    """Sketches of documents: of each its weightiest term of each level of frequency, from common to rare, as bytes in that order."""
 
     def __init__(self, n: int, df: np.ndarray, idf: np.ndarray, mean: float):
         least = [max(2, n / (COARSEST * FINER**k)) for k in range(LEVELS)]
@@ -105,13 +132,21 @@ class Sketcher:
         self.level = np.array([(df < x) for x in least]).sum(axis=0)
         self.idf, self.mean = idf, mean
 
-    def __call__(self, ids: np.ndarray) -> bytes:
-        term, tf = term_counts(ids)
-        w, level = weights(term, tf, ids.size, self.idf, self.mean), self.level[term]
-        out = np.full(LEVELS, VOCABULARY - 1, ">u2")
-        for k in range(int(level.min(initial=LEVELS)), LEVELS):
-            out[k] = term[np.where(level <= k, w, -1.0).argmax()]  # the least term of equals
-        return out.tobytes()
+    def __call__(self, docs: list[np.ndarray]) -> list[bytes]:
+        return [x for some in portions(docs) for x in self.together(some)]
+
+    def together(self, docs: list[np.ndarray]) -> list[bytes]:
+        doc, term, tf = postings(docs)
+        out = np.full((len(docs), LEVELS), VOCABULARY - 1, ">u2")
+        if doc.size:
+            w = weights(term, tf, np.array([d.size for d in docs])[doc], self.idf, self.mean)
+            level, first = self.level[term], np.flatnonzero(np.diff(doc, prepend=-1))
+            for k in range(LEVELS):
+                own = np.where(level <= k, w, -1.0)
+                top = np.flatnonzero((own == np.repeat(np.maximum.reduceat(own, first), np.diff(first, append=doc.size))) & (own >= 0))
+                top = top[np.flatnonzero(np.diff(doc[top], prepend=-1))]  # the least term of equals
+                out[doc[top], k] = term[top]
+        return [x.tobytes() for x in out]
 
 
 def placed(ids: DataFrame, n: int, tokens: int, df: np.ndarray) -> DataFrame:
@@ -126,9 +161,9 @@ def placed(ids: DataFrame, n: int, tokens: int, df: np.ndarray) -> DataFrame:
         release_caches()
         of = Sketcher(n, *shared.value, mean)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                got = [of(np.frombuffer(x.as_buffer(), "<u2")) for x in part.column(1)]
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                got = of([np.frombuffer(x.as_buffer(), "<u2") for x in part.column(1)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], ["doc_id", "ids", "row", "sketch"])
 
     rows = ids.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
@@ -152,12 +187,11 @@ class Shard:
 
     def __init__(self, doc_ids: list, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.doc_ids, self.docs = doc_ids, docs
-        counted = [term_counts(d) for d in docs]
-        self.query = [t for t, _ in counted]
-        term = np.concatenate(self.query)
-        order = np.argsort(term, kind="stable")
-        self.doc = np.repeat(np.arange(len(docs)), [t.size for t in self.query])[order]
-        self.weight = np.concatenate([weights(t, tf, d.size, idf, mean) for (t, tf), d in zip(counted, docs, strict=True)])[order].astype(np.float64)
+        doc, term, tf = postings(docs)
+        self.query = np.split(term, np.cumsum(np.bincount(doc, minlength=len(docs)))[:-1])
+        weight = weights(term, tf, np.array([d.size for d in docs])[doc], idf, mean)
+        order = np.argsort(term.astype(np.uint16), kind="stable")  # by radix
+        self.doc, self.weight = doc[order], weight[order]
         self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(term, minlength=VOCABULARY))))
         common = np.flatnonzero(np.diff(self.at) * COMMON >= max(COMMON, len(docs)))
         self.line = np.full(VOCABULARY, -1)
@@ -183,7 +217,7 @@ class Shard:
         """Unused documents by BM25 score for all of the seed's terms, the best 64 and those that equal the last of them."""
         if self.left < 0.7 * self.held:
             self.shrink()
-        terms = self.query[seed].astype(np.int64)
+        terms = self.query[seed]
         line = self.line[terms]
         start, n = self.at[terms], self.at[terms + 1] - self.at[terms]
         at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)  # of all their postings

@@ -639,3 +639,41 @@ def test_token_files_cache_bears_on_speed_only(spark):
     docs = spark.createDataFrame([(k, f"word{k} again, again Word{k % 3} x{k}y  end") for k in range(40)] + [(40, None)], "doc_id long, text string")
     small, large = [sorted(map(tuple, token_files.token_files(docs, queries.tokenizer("byte_bpe_50k.json"), keep=n).collect())) for n in (2, 1000)]
     assert small == large and len(small) == 41
+
+
+def test_packing_encodes_texts_together(real, monkeypatch):
+    """Ids of texts encoded together are the library's, also over cache turns, and a cut of several texts is looked up once."""
+    from folioscope.llm import piece_encoder
+
+    enc = piece_encoder.Encoder(queries.tokenizer("word_bpe_49k.json"), "word", 60)
+    odd = ["", " ", "  a  b ", "tab\tand\u2003wide\u00a0space ", "a\x1cb c", "<|endoftext|> A <|ENDOFTEXT|>", "\u0130\u0130 \u00c4\u00d6\u00dc stra\u00dfe", "\u65e5\u672c \U0001f600 e\u0301", "can't, (x) 3.14!", "\x85mid\u2028line"]
+    texts = odd + [r.text or "" for r in real.limit(60).collect()] + odd
+    looked = []
+    each = piece_encoder.Kept.each
+    monkeypatch.setattr(piece_encoder.Kept, "each", lambda self, keys: looked.extend(keys) or each(self, keys))
+    want = [np.array(enc.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert enc.encode_all(texts) == want and enc.encode_all(texts[::-1]) == want[::-1] and enc.encode_all([]) == [] and enc.encode_all([""]) == [b""]
+    assert len(looked) > 100 and len(looked) < 3 * len(set(looked))
+
+
+def test_packing_counts_together(monkeypatch):
+    """Postings and sketches of many documents against one document at a time, in portions of any size, empty ones among them."""
+    rng = np.random.RandomState(8)
+    docs = [rng.zipf(1.3, rng.randint(0, 90)).clip(0, packing.VOCABULARY - 1).astype("<u2") for _ in range(300)]
+    docs[7] = docs[-1] = np.zeros(0, "<u2")
+    doc, term, tf = packing.postings(docs)
+    want = [(i, int(t), int(n)) for i, d in enumerate(docs) for t, n in zip(*np.unique(d, return_counts=True), strict=True)]
+    assert list(zip(doc.tolist(), term.tolist(), tf.tolist(), strict=True)) == want and all(x.size == 0 for x in packing.postings([]))
+    df = np.bincount(term, minlength=packing.VOCABULARY)
+    idf = np.log1p((300 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    least = [max(2, 300 / (packing.COARSEST * packing.FINER**k)) for k in range(packing.LEVELS)]
+
+    def sketch(d):
+        t, n = np.unique(d, return_counts=True)
+        w = idf[t] * (n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * d.size / 40.0)))
+        levels = [[(-x, int(y)) for x, y in zip(w, t, strict=True) if df[y] >= m] for m in least]
+        return b"".join(int(min(x)[1] if x else packing.VOCABULARY - 1).to_bytes(2, "big") for x in levels)
+
+    for most in (1 << 18, 50):
+        monkeypatch.setattr(packing, "PORTION", most)
+        assert packing.Sketcher(300, df, idf, 40.0)(docs) == [sketch(d) for d in docs]
